@@ -123,7 +123,7 @@ def resolve(column: Column, dtype: T.DataType, tokens: tuple[str, ...]) -> Found
             k = key_literal(t, here.keyType)
             out = Found(F.try_element_at(parent, k), here.valueType, F.coalesce(F.map_contains_key(parent, k), F.lit(False)), True)
         elif isinstance(here, T.ArrayType) and (name := _key_of(here)):
-            same = F.filter(parent, lambda x, t=t, name=name: key_text(x.getField(name)) == t)
+            same = F.filter(parent, _is(name, t))
             out = Found(F.get(same, 0), here.elementType, F.size(same) > 0)
         elif isinstance(here, T.ArrayType):
             k = _index(t, path)
@@ -134,6 +134,10 @@ def resolve(column: Column, dtype: T.DataType, tokens: tuple[str, ...]) -> Found
 
 
 
+def _is(name: str, token: str):
+    return lambda x: key_text(x.getField(name)) == token
+
+
 def _none() -> Column:
     return F.lit(None).cast("string")
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.canon import canonical, comparable, deep_equal
-from ..functions.paths import escape_column, normalise
-from ..functions.schema import Leaf, checked, element_key, leaves
+from ..functions.paths import escape, escape_column, join, normalise
+from ..functions.schema import ATOMIC, IGNORE, checked, element_key, tagged
 
 OP = "struct<kind:string,path:string,from_path:string,old:string,new:string>"
 Custom = Callable[[Column, Column, Column], Column]
@@ -40,20 +40,25 @@ def _below(path: Column, token: Column) -> Column:
     return F.concat(path, F.lit("/"), escape_column(token.cast("string")))
 
 
-def value_ops(a: Column, b: Column, dtype: T.DataType, path: Column, custom: dict[str, Custom] | None = None, ieee_nan: bool = False, preserve_order: bool = False, atomic: bool = False) -> Column:
+def value_ops(
+    a: Column, b: Column, dtype: T.DataType, path: Column, custom: dict[str, Custom] | None = None, ieee_nan: bool = False, preserve_order: bool = False, atomic: bool = False, names: tuple[str, ...] | None = None
+) -> Column:
     """The array of ops that turn a into b.
 
     Scalars, atomic fields and values on one side: one op. Structs: by field. Maps: by key, ascending;
     a null map counts as empty when it is populated. Keyed lists: by key, ascending; order is ignored
-    unless preserve_order. Other lists: one replace if lengths differ, else by position.
+    unless preserve_order. Other lists: one replace if lengths differ, else by position. names: the path, where it is the same in all rows.
     """
-    if custom and (rule := custom.get(dtype.simpleString())):
+    if custom and (rule := (custom.get(normalise(join(names))) if names else None) or custom.get(dtype.simpleString())):
         return rule(a, b, path)
     if atomic:
         return _whole(a, b, dtype, path, ieee_nan)
     go = lambda x, y, kind, p: value_ops(x, y, kind, p, custom, ieee_nan, preserve_order)
     if isinstance(dtype, T.StructType):
-        parts = [go(a.getField(f.name), b.getField(f.name), f.dataType, F.concat(path, F.lit(f"/{f.name.replace('~', '~0').replace('/', '~1')}"))) for f in dtype]
+        parts = [
+            value_ops(a.getField(f.name), b.getField(f.name), f.dataType, F.concat(path, F.lit(f"/{escape(f.name)}")), custom, ieee_nan, preserve_order, tagged(f, ATOMIC), names and (*names, f.name))
+            for f in dtype if not tagged(f, IGNORE)
+        ]
         return F.when(a.isNull() | b.isNull(), _whole(a, b, dtype, path)).otherwise(F.concat(*parts) if parts else _nothing())
     if isinstance(dtype, T.MapType):
         x, y = F.coalesce(a, F.create_map().cast(dtype)), b
@@ -88,11 +93,15 @@ def value_ops(a: Column, b: Column, dtype: T.DataType, path: Column, custom: dic
     return _whole(a, b, dtype, path, ieee_nan)
 
 
-def _at(side: str, leaf: Leaf) -> Column:
-    out = F.col(side)
-    for n in leaf.names:
-        out = out.getField(n)
-    return out
+def _pruned(column: Column, dtype: T.DataType, names: tuple[str, ...], ignored: set[str]) -> tuple[Column, T.DataType]:
+    """A field without what is ignored below it."""
+    if not isinstance(dtype, T.StructType):
+        return column, dtype
+    inner = {f.name: _pruned(column.getField(f.name), f.dataType, (*names, f.name), ignored) for f in dtype if not tagged(f, IGNORE) and normalise(join((*names, f.name))) not in ignored}
+    fields = [T.StructField(f.name, inner[f.name][1], f.nullable, f.metadata) for f in dtype if f.name in inner]
+    if fields == dtype.fields:
+        return column, dtype
+    return F.when(column.isNotNull(), F.struct(*[c.alias(n) for n, (c, _) in inner.items()])), T.StructType(fields)
 
 
 def diff(
@@ -108,25 +117,26 @@ def diff(
     """
     schema = schema or a.schema
     checked(schema)
-    found = list(leaves(schema, key, ignore))
-    if not found:
+    ignored = {normalise(p) for p in ignore}
+    tops = [f for f in schema if f.name not in key and not tagged(f, IGNORE) and normalise(join([f.name])) not in ignored]
+    if not tops:
         raise ValueError("no field is left to compare")
-    tops = list(dict.fromkeys(x.names[0] for x in found))
-    side = lambda df, name: df.select(*key, F.struct(*[F.col(f"`{t}`") for t in tops]).alias(name))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*key, F.struct(*[_pruned(F.col(f"`{f.name}`"), f.dataType, (f.name,), ignored)[0].alias(f.name) for f in tops]).alias(name))
+
     both = side(a, "_a").join(side(b, "_b"), key, "full_outer")
+    kinds = [(f, _pruned(F.lit(None), f.dataType, (f.name,), ignored)[1]) for f in tops]
     rules = {normalise(k) if k.startswith("/") else k: v for k, v in (custom or {}).items()}
-    parts = []
-    for x in found:
-        p, q, path = _at("_a", x), _at("_b", x), F.lit(x.path)
-        by_path = rules.get(normalise(x.path))
-        parts.append(by_path(p, q, path) if by_path else value_ops(p, q, x.dtype, path, rules, ieee_nan, preserve_order, x.atomic))
+    old, new = (lambda f: F.col("_a").getField(f.name)), (lambda f: F.col("_b").getField(f.name))
+    parts = [value_ops(old(f), new(f), kind, F.lit(join([f.name])), rules, ieee_nan, preserve_order, tagged(f, ATOMIC), (f.name,)) for f, kind in kinds]
     ops = F.concat(*parts) if len(parts) > 1 else parts[0]
-    kind = T.StructType([schema[t] for t in tops])
+    kind = T.StructType([T.StructField(f.name, k) for f, k in kinds])
     if rows == "whole":
         gone, come = F.array(_op("remove", F.lit("/"), canonical(F.col("_a"), kind), F.lit(None))), F.array(_op("add", F.lit("/"), F.lit(None), canonical(F.col("_b"), kind)))
         ops = F.when(F.col("_b").isNull(), gone).when(F.col("_a").isNull(), come).otherwise(ops)
     else:
-        one_sided = [_whole(_at("_a", x), _at("_b", x), x.dtype, F.lit(x.path)) for x in found]
+        one_sided = [_whole(old(f), new(f), k, F.lit(join([f.name]))) for f, k in kinds]
         ops = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.concat(*one_sided)).otherwise(ops)
     return both.select(*key, F.posexplode(ops).alias("seq", "op")).select(*key, "seq", "op.*")
 

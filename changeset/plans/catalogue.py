@@ -364,11 +364,11 @@ def cond_map_keys(spark: SparkSession, d: str) -> DataFrame:
 # --- paths
 
 
-@query("SELECT o_custkey, xs[2] AS "second", CAST(len(xs) > 10 AS int) eleventh FROM (SELECT o_custkey, list(o_orderstatus ORDER BY o_orderkey) xs FROM orders GROUP BY 1)")
+@query("SELECT o_custkey, xs[2] AS snd, CAST(len(xs) > 10 AS int) eleventh FROM (SELECT o_custkey, list(o_orderstatus ORDER BY o_orderkey) xs FROM orders GROUP BY 1)")
 def path_resolve(spark: SparkSession, d: str) -> DataFrame:
     a, _ = status_lists(spark, d)
     at = lambda i: resolve(F.col("xs"), a.schema["xs"].dataType, (str(i),))
-    return a.select("o_custkey", at(1).value.alias("second"), at(10).present.cast("int").alias("eleventh"))
+    return a.select("o_custkey", at(1).value.alias("snd"), at(10).present.cast("int").alias("eleventh"))
 
 
 @query("""WITH l AS (SELECT o_custkey, list(o_orderstatus ORDER BY o_orderkey) xs FROM orders GROUP BY 1)
