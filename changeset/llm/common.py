@@ -11,19 +11,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch that goes to Python; documents can be long.
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: Words worked on at once in numpy.
 CHUNK_WORDS = 400_000
-#: Words whose hash a worker remembers.
-MEMO = 200_000
+#: Bytes hashed at once.
+SEGMENT = 1 << 20
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_POWERS = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,8 +46,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """mapInArrow with batches of at most BATCH_ROWS rows."""
+    """mapInArrow with batches of at most BATCH_ROWS rows and about BATCH_BYTES."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
@@ -55,16 +57,6 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash; forgets everything beyond MEMO words, so its size is bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -82,12 +74,56 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
                 start, size = i + 1, 0
 
 
-def hash_words(words: list[list[bytes]], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all documents one after another, and the n + 1 offsets of the documents."""
-    offsets = np.zeros(len(words) + 1, np.int64)
-    np.cumsum([len(w) for w in words], out=offsets[1:])
-    flat = np.fromiter((memo[x] for w in words for x in w), np.uint64, int(offsets[-1]))
-    return flat, offsets
+class Words:
+    """The words of several texts, found and hashed without a Python object for each.
+
+    hashes: 64 bits of each word, all texts one after another; offsets: text i has words offsets[i] to
+    offsets[i + 1]; starts, ends: their bytes in data. A word's hash is a polynomial of its bytes, taken
+    from running sums over a segment, and mixed.
+    """
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.data = b"\n".join([*texts, b""])
+        begins = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(t) + 1 for t in texts], out=begins[1:])
+        parts = [self._segment(i, j) for i, j in self._segments()]
+        self.starts, self.ends, self.hashes = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
+        self.offsets = np.searchsorted(self.starts, begins)
+
+    def _segments(self):
+        """Pieces of about SEGMENT bytes that end in white space."""
+        i = 0
+        while i < len(self.data):
+            j = min(i + SEGMENT, len(self.data))
+            while j < len(self.data) and not _SPACE[self.data[j - 1]]:
+                j += 1
+            yield i, j
+            i = j
+
+    def _segment(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a = np.frombuffer(self.data, np.uint8, j - i, i)
+        edge = np.diff(np.concatenate([[1], _SPACE[a], [1]]).astype(np.int8))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        power, inverse = _powers(j - i)
+        sums = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[: len(a)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * inverse[starts]
+        return starts + i, ends + i, mixed(h + (ends - starts).astype(np.uint64) * _MIX2)
+
+    def text(self, i: int, j: int) -> bytes:
+        """Words i to j (over all texts), joined by one blank."""
+        return b" ".join(self.data[self.starts[i] : self.ends[j - 1]].split())
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse mod 2**64, at least n of each."""
+    if len(_POWERS[0]) < n:
+        size = max(n, SEGMENT)
+        for k, b in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
+            p = np.full(size, b, np.uint64)
+            p[0] = 1
+            _POWERS[k] = np.cumprod(p)
+    return _POWERS[0], _POWERS[1]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

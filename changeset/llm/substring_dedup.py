@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, chunks, digest, gram_hashes, hash_words, materialize
+from .common import Words, arrow_map, chunks, digest, gram_hashes, materialize
 
 #: Words of a window and of a minimiser.
 WINDOW, GRAM = 35, 8
@@ -71,34 +71,38 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, h
     are dealt by digest instead, counted by a partial aggregate, and joined back.
     """
 
+    def cut(docs: list[bytes]) -> tuple[Words, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        words = Words(docs)
+        return words, super_kmers(words.hashes, words.offsets, window, gram)
+
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch, docs in chunks(batches):
-            h, at = hash_words([t.split() for t in docs], memo)
-            doc, start, _, least = super_kmers(h, at, window, gram)
+            _, (doc, start, _, least) = cut(docs)
             yield pa.RecordBatch.from_arrays([pa.array(least), batch.column("td").take(pa.array(doc)), pa.array(start.astype(np.int32))], ["least", "td", "start"])
 
+    def chosen(batch: pa.RecordBatch, column: str, doc: np.ndarray, start: np.ndarray) -> list[int]:
+        """The super-k-mers whose starts the column lists for their text."""
+        wanted = [set(x or ()) for x in batch.column(column).to_pylist()]
+        return [k for k, (d, s) in enumerate(zip(doc.tolist(), start.tolist(), strict=True)) if s in wanted[d]]
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch, docs in chunks(batches):
-            words = [t.split() for t in docs]
-            h, at = hash_words(words, memo)
-            doc, start, count, least = super_kmers(h, at, window, gram)
-            cold = [set(x or ()) for x in batch.column("cold").to_pylist()]
-            use = [k for k, (d, s) in enumerate(zip(doc.tolist(), start.tolist(), strict=True)) if s in cold[d]]
-            strings = [b" ".join(words[doc[k]][start[k] : start[k] + count[k] + window - 1]) for k in use]
+            words, (doc, start, count, least) = cut(docs)
+            use = chosen(batch, "cold", doc, start)
+            first = (words.offsets[doc] + start).tolist()
+            strings = [words.text(first[k], first[k] + int(count[k]) + window - 1) for k in use]
             yield pa.RecordBatch.from_arrays([pa.array(least[use]), batch.column("td").take(pa.array(doc[use])), pa.array(start[use].astype(np.int32)), pa.array(strings, pa.binary())], ["least", "td", "start", "packed"])
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        """A row for each distinct window of a text, with all its starts there."""
         for batch, docs in chunks(batches):
-            words = [t.split() for t in docs]
-            h, at = hash_words(words, memo)
-            doc, start, count, _ = super_kmers(h, at, window, gram)
-            warm = [set(x or ()) for x in batch.column("warm").to_pylist()]
-            out = [(d, s + j) for d, s, c in zip(doc.tolist(), start.tolist(), count.tolist(), strict=True) if s in warm[d] for j in range(c)]
-            digests = [xxhash.xxh3_128_digest(b" ".join(words[d][s : s + window])) for d, s in out]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column("td").take(pa.array([d for d, _ in out], pa.int64())), pa.array([s for _, s in out], pa.int32())], ["window", "td", "start"])
+            words, (doc, start, count, _) = cut(docs)
+            places: dict[tuple[int, bytes], list[int]] = {}
+            for k in chosen(batch, "warm", doc, start):
+                first = int(words.offsets[doc[k]])
+                for s in range(int(start[k]), int(start[k] + count[k])):
+                    places.setdefault((int(doc[k]), xxhash.xxh3_128_digest(words.text(first + s, first + s + window))), []).append(s)
+            yield pa.RecordBatch.from_arrays([pa.array([w for _, w in places], pa.binary()), batch.column("td").take(pa.array([d for d, _ in places], pa.int64())), pa.array(list(places.values()), pa.list_(pa.int32()))], ["window", "td", "starts"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by minimiser; a bucket has at most `hot` of them."""
@@ -112,8 +116,11 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, h
                 ends.append(len(string))
                 found += [(string[begins[i] : ends[i + window - 1]], td, start + i) for i in range(len(begins) - window + 1)]
             found.sort()
-            twice = [k for k in range(len(found)) if k and found[k][0] == found[k - 1][0] or k + 1 < len(found) and found[k][0] == found[k + 1][0]]
-            return pa.RecordBatch.from_arrays([pa.array([found[k][1] for k in twice], pa.binary()), pa.array([found[k][2] for k in twice], pa.int32())], ["td", "start"])
+            starts: dict[bytes, list[int]] = {}
+            for k, (string, td, start) in enumerate(found):
+                if k and string == found[k - 1][0] or k + 1 < len(found) and string == found[k + 1][0]:
+                    starts.setdefault(td, []).append(start)
+            return pa.RecordBatch.from_arrays([pa.array(list(starts), pa.binary()), pa.array(list(starts.values()), pa.list_(pa.int32()))], ["td", "starts"])
 
         for batch in batches:
             for least, td, start, string in zip(*(batch.column(c).to_pylist() for c in ("least", "td", "start", "packed")), strict=True):
@@ -134,11 +141,15 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, h
     held = texts.select("td", "text").join(sides, "td")
     strings = arrow_map(held.where("size(cold) > 0").select("td", "text", "cold"), packed, "least long, td binary, start int, packed binary")
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    cold = arrow_map(strings.repartition(parts, "least").sortWithinPartitions("least"), counted, "td binary, start int")
-    warm = arrow_map(held.where("size(warm) > 0").select("td", "text", "warm"), single, "window binary, td binary, start int")
-    many = warm.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
+    cold = arrow_map(strings.repartition(parts, "least").sortWithinPartitions("least"), counted, "td binary, starts array<int>")
+    warm = arrow_map(held.where("size(warm) > 0").select("td", "text", "warm"), single, "window binary, td binary, starts array<int>")
+    # Texts of one scan task travel as one row of a window, so one that a third of all texts has is joined once for each
+    # task; their rows then go back to be dealt by task, not by window.
+    warm = warm.withColumn("task", F.spark_partition_id()).groupBy("window", "task").agg(F.collect_list(F.struct("td", "starts")).alias("places"), F.sum(F.size("starts")).alias("c"))
+    many = warm.groupBy("window").agg(F.sum("c").alias("c")).where("c > 1").select("window")
+    twice = warm.join(many, "window").select("task", "places").repartition(parts, "task").select(F.explode("places").alias("x")).select("x.td", "x.starts")
     # A text has as many windows as words at most, so its starts are a bounded list.
-    return cold.unionByName(warm.join(many, "window").select("td", "start")).groupBy("td").agg(F.collect_list("start").alias("starts"))
+    return cold.unionByName(twice).groupBy("td").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def dedup_substrings(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, text: bool = True) -> DataFrame:
