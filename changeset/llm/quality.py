@@ -13,8 +13,8 @@ from .common import arrow_map, chunks
 SPACE = b" \t\n\x0b\x0c\r"
 #: Last characters of a line that is a sentence.
 ENDS = tuple(x.encode() for x in ".!?:;,\"')]…”’»。！？")
-#: Signs that part the entries of a navigation bar; a line with this share of them among its words is one.
-BARS, BAR_SHARE = (b"|", "»".encode(), "›".encode(), "•".encode()), 0.2
+#: Signs that part the entries of a navigation bar; a line with one of them among so many words is one.
+BARS, BAR_EVERY = (b"|", "»".encode(), "›".encode(), "•".encode()), 5
 #: Wording that pages repeat around their content.
 BOILERPLATE = (b"all rights reserved", b"cookie policy", b"privacy policy", b"terms of use", b"terms of service", b"enable javascript", b"subscribe to our newsletter", b"click here to")
 #: A document that loses more than this share of its words with failing lines is rejected.
@@ -28,7 +28,7 @@ def line_fails(line: bytes, words: list[bytes]) -> bool:
     """Whether a line with words fails a rule: punctuation (no sentence end), navigation, boilerplate."""
     if not line.rstrip(SPACE).endswith(ENDS):
         return True
-    if len(words) >= 3 and sum(words.count(x) for x in BARS) >= BAR_SHARE * len(words):
+    if len(words) >= 3 and BAR_EVERY * sum(words.count(x) for x in BARS) >= len(words):
         return True
     low = line.lower()
     return any(x in low for x in BOILERPLATE)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lang_id, license_scan, mixing, near_dedup, quality, substring_dedup, token_count, url_filter
+from . import chat, decontaminate, lang_id, license_scan, mixing, near_dedup, oracles, quality, substring_dedup, token_count, url_filter
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 TOKENIZER = "word_bpe_49k.json"
@@ -68,3 +68,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_decontaminate, op2_url_filter, op3_near_dedup, op4_token_count, op5_lang_id, op6_license_scan, op7_chat_format, op8_mix_sources, op9_quality_rules, op10_substring_dedup)
     return {f.__name__: f for f in own}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(oracles.ORACLES)
