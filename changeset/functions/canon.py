@@ -96,6 +96,13 @@ def clone(df: DataFrame, ignore: set[str] = frozenset(), rewrite: dict[str, Call
     return df.select(*[copy(F.col(f"`{f.name}`"), f.dataType, (f.name,), tagged(f, IGNORE)).alias(f.name) for f in df.schema])
 
 
+def canonical_keys(column: Column, rule: Callable[[Column], Column]) -> Column:
+    """A map with its keys rewritten, for keys that mean the same in several spellings; of equal ones the last stays."""
+    entries = F.transform(F.map_entries(column), lambda e: F.struct(rule(e["key"]).alias("key"), e["value"].alias("value")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
 def hash_key(column: Column, dtype: T.DataType) -> Column:
     """A prefilter for equal values; lists and maps have none."""
     return F.lit(None).cast("long") if isinstance(dtype, (T.ArrayType, T.MapType)) else F.xxhash64(canonical(column, dtype))

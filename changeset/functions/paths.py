@@ -54,6 +54,14 @@ def field(schema: T.StructType, selector: str) -> str:
     return join(names)
 
 
+def resolve_parent(pointer: str) -> tuple[str, str]:
+    """(the path above, the last token); the root has no parent."""
+    tokens = parse(pointer)
+    if not tokens:
+        raise PathError("/: the root has no parent")
+    return join(tokens[:-1]), tokens[-1]
+
+
 def at(pointer: str, index: int) -> str:
     return join((*parse(pointer), index))
 
@@ -188,6 +196,22 @@ def _any_key(dtype: T.DataType) -> Column:
     return F.lit("0").cast(dtype)
 
 
+def insert_keyed(column: Column, dtype: T.DataType, element: Column, previous: Column | None = None) -> Column:
+    """A keyed list with an element that it lacks: after the one of key text `previous` (else at the start), and then past
+    all that follow with a smaller key text, so that replicas place concurrent insertions alike."""
+    name = _key_of(dtype)
+    if name is None:
+        raise PathError(f"{dtype.simpleString()} has no element key")
+    xs, own = F.coalesce(column, F.array().cast(dtype)), key_text(element.getField(name))
+    keys = F.transform(xs, lambda x: key_text(x.getField(name)))
+    start = F.array_position(keys, previous).cast("int") if previous is not None else F.lit(0)
+    start = F.coalesce(start, F.lit(0))
+    rest = F.slice(keys, start + 1, F.greatest(F.size(keys) - start, F.lit(0)))
+    stop = F.array_position(F.transform(rest, lambda k: k >= own), F.lit(True)).cast("int")
+    place = start + F.when(stop == 0, F.size(rest)).otherwise(stop - 1)
+    return F.concat(F.slice(xs, F.lit(1), place), F.array(element), F.slice(xs, place + 1, F.greatest(F.size(xs) - place, F.lit(0))))
+
+
 def delete_at(column: Column, dtype: T.DataType, tokens: tuple[str, ...], path: str = "", zero: bool = False) -> tuple[Column, Column]:
     """(new column, error text or null). A struct field becomes null (or its type's zero), a map key goes, a list element goes and the rest moves up."""
     if not tokens:

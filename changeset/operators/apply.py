@@ -167,6 +167,12 @@ def apply_static(
     return df.select(*[F.col(f"`{n}`") for n in names], status.alias("status"), F.col("_errors").alias("errors"), F.col("_log").alias("log"))
 
 
+def deliver_logs(result: DataFrame, key: list[str], callback: Callable[[tuple, str], None]) -> None:
+    """Hands each log line of an applied table, with its entity's key, to a callback on the driver, a partition at a time."""
+    for row in result.select(*key, F.explode("log").alias("_line")).toLocalIterator():
+        callback(tuple(row[k] for k in key), row["_line"])
+
+
 def report(errors: Column) -> Column:
     """Null for none, one error as it is, more under a heading."""
     return F.when(F.size(errors) == 1, F.get(errors, 0)).when(F.size(errors) > 1, F.concat(F.size(errors).cast("string"), F.lit(" errors:\n- "), F.array_join(errors, "\n- ")))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.canon import canonical, comparable, deep_equal
 from ..functions.paths import escape, escape_column, join, normalise
 from ..functions.schema import ATOMIC, IGNORE, checked, element_key, tagged
+from .text import is_text
 
 OP = "struct<kind:string,path:string,from_path:string,old:string,new:string>"
 Custom = Callable[[Column, Column, Column], Column]
@@ -71,6 +72,8 @@ def value_ops(
             return F.when(~had, added).when(~has, removed).otherwise(go(old, new, dtype.valueType, here))
 
         return F.when(a.isNull() & b.isNull(), _nothing()).when(b.isNull(), _whole(a, b, dtype, path)).when(a.isNull() & (F.size(b) == 0), _whole(a, b, dtype, path)).otherwise(F.flatten(F.transform(keys, one)))
+    if is_text(dtype):  # runs are one value: they change as a whole and merge when applied
+        return _whole(a, b, dtype, path)
     if isinstance(dtype, T.ArrayType) and (name := element_key(dtype)):
         key = lambda x: x.getField(name)
         keys = F.array_sort(F.array_union(F.transform(a, key), F.transform(b, key)))

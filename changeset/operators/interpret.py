@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.conditions import Condition, from_predicate, type_name
 from ..functions.paths import parse
 from ..functions.schema import IGNORE, READONLY, element_key, tagged
+from .text import from_runs, is_text, merge, to_runs
 
 
 class Failed(Exception):
@@ -177,10 +178,26 @@ def evaluate(cond: Condition, row: dict, schema: T.StructType) -> bool | None:
     return {">": x > y, ">=": x >= y, "<": x < y, "<=": x <= y}[cond.op]
 
 
+def _merged_text(row: dict, op: dict, schema: T.StructType) -> dict | None:
+    """The row with runs merged into a text field, whatever the op's conditions: merging converges, so it needs none. None for other fields."""
+    tokens = parse(op["path"])
+    try:
+        have, dtype = _get(row, schema, tokens, op["path"])
+        if not is_text(dtype):
+            return None
+        runs = merge(to_runs(None if have is _ABSENT else have), to_runs(json.loads(op["new"])))
+        return _put(row, schema, tokens, from_runs(runs), op["path"])
+    except Failed:
+        return None
+
+
 def apply_ops(row: dict, ops: list[dict], schema: T.StructType, fixed: set[str]) -> tuple[dict, list[str], list[str]]:
     """The row after its operations, errors and log lines. fixed: key columns, which can't be written."""
     errors, lines = [], []
     for op in ops:
+        if op["kind"] in ("add", "replace") and op["new"] is not None and (merged := _merged_text(row, op, schema)) is not None:
+            row = merged
+            continue
         if op["if_cond"] and evaluate(from_predicate(op["if_cond"]), row, schema) is not True:
             continue
         if op["unless_cond"] and evaluate(from_predicate(op["unless_cond"]), row, schema) is not False:

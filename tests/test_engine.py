@@ -325,3 +325,32 @@ def test_conditional_stream(spark, tmp_path):
     run = deltas.conditional_replicas(stream, "id", schema).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert seen == {"/n": ("5", False), "/m": (None, True)}
+
+
+def test_text_fields_merge_when_applied(spark):
+    kinds = T.StructType([T.StructField("id", T.LongType()), T.StructField("body", T.ArrayType(T.StructType([T.StructField("id", T.StructType([T.StructField("w", T.LongType()), T.StructField("l", T.IntegerType()), T.StructField("n", T.StringType())])), T.StructField("v", T.StringType()), T.StructField("p", T.StructType([T.StructField("w", T.LongType()), T.StructField("l", T.IntegerType()), T.StructField("n", T.StringType())])), T.StructField("d", T.BooleanType())])))])
+    base = text.insert([], 0, b"held", (1, 0, "a"))
+    mine, theirs = text.insert(base, 0, b"I ", (2, 0, "a")), text.insert(base, 4, b"!", (2, 0, "b"))
+    frame = lambda runs: spark.createDataFrame([(1, text.from_runs(runs))], kinds)
+    changes = diff.diff(frame(base), frame(theirs), ["id"])
+    assert [(r["kind"], r["path"]) for r in changes.collect()] == [("replace", "/body")]
+    blocked = changes.withColumn("if_cond", F.lit(C.eq("/id", 99).to_json()))
+    done = apply.apply_table_general(frame(mine), blocked, ["id"]).select(F.col("id").alias("doc"), F.explode("body").alias("r")).select("doc", "r.*")
+    assert text.render_text(done, ["doc"]).first()["text"] == "I held!"
+
+
+def test_small_helpers(spark):
+    assert P.resolve_parent("/a/b~1c") == ("/a", "b/c")
+    with pytest.raises(P.PathError):
+        P.resolve_parent("/")
+    xs = spark.createDataFrame([([("b", "", 1), ("d", "", 2), ("c", "", 3)],)], T.StructType([T.StructField("xs", T.ArrayType(TASK))]))
+    kind = T.ArrayType(TASK)
+    new = lambda k: F.struct(F.lit(k).alias("ID"), F.lit("n").alias("Status"), F.lit(0).cast("long").alias("Value"))
+    keys = lambda e, prev: "".join(r["ID"] for r in xs.select(P.insert_keyed(F.col("xs"), kind, e, prev).alias("o")).first()["o"])
+    assert (keys(new("a"), None), keys(new("c1"), F.lit("b")), keys(new("e"), F.lit("b")), keys(new("x"), F.lit("none"))) == ("abdc", "bc1dc", "bdce", "bdcx")
+    m = spark.createDataFrame([({"A": 1, "b": 2},)], "m map<string,int>")
+    assert m.select(canon.canonical_keys(F.col("m"), F.upper).alias("m")).first()["m"] == {"A": 1, "B": 2}
+    got = []
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "id long, v string")
+    apply.deliver_logs(apply.apply_static(df, ops.Patch((ops.log("m"),))), ["id"], lambda k, line: got.append((k, line)))
+    assert sorted(got) == [((1,), "m"), ((2,), "m")]
