@@ -178,12 +178,43 @@ def report(errors: Column) -> Column:
     return F.when(F.size(errors) == 1, F.get(errors, 0)).when(F.size(errors) > 1, F.concat(F.size(errors).cast("string"), F.lit(" errors:\n- "), F.array_join(errors, "\n- ")))
 
 
+def read_json(text: Column, dtype: T.DataType) -> Column:
+    """Canonical JSON text as a scalar; null for null and for what has no such value."""
+    if isinstance(dtype, T.StringType):
+        return F.when(text.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v")).otherwise(F.when(text != "null", text))
+    return F.trim(F.translate(text, '"', "")).try_cast(dtype)
+
+
+def apply_writes(df: DataFrame, ops: DataFrame, key: list[str], schema: T.StructType | None = None) -> DataFrame:
+    """Patch tables of plain writes: add, replace and remove at top-level scalar fields, not strict, without conditions.
+
+    The last write of each path counts, so entities' operations needn't be gathered: a partially
+    aggregated maximum for each field and one join, whatever the number of operations of an entity.
+    Adds status and errors; operations of other kinds or at other paths are errors, a message for each.
+    """
+    schema = schema or df.schema
+    scalar = [f for f in schema if f.name not in key and not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
+    open_ = [f for f in scalar if not tagged(f, READONLY) and not tagged(f, IGNORE)]
+    plain = op_table(ops, key).where("kind <> 'log'")
+    path, gone = F.col("path"), F.col("kind") == "remove"
+    writes = F.col("kind").isin("add", "replace", "remove") & ~F.coalesce("strict", F.lit(False)) & F.col("if_cond").isNull() & F.col("unless_cond").isNull()
+    at = lambda fields: path.isin(*[f"/{f.name}" for f in fields]) if fields else F.lit(False)
+    fixed, hidden = [f for f in scalar if tagged(f, READONLY)], [f for f in scalar if tagged(f, IGNORE)]
+    error = F.when(at(hidden), F.lit(None)).when(at(fixed), F.concat(path, F.lit(": field is read-only"))).when(~at(scalar), F.concat(path, F.lit(": no such field"))).when(~writes, F.concat(path, F.lit(": not a plain write")))
+    last = lambda f: F.max(F.when(writes & (path == f"/{f.name}"), F.struct("seq", F.when(~gone, F.col("new")).alias("new"))))
+    own = plain.groupBy(*key).agg(*[last(f).alias(f"_{f.name}") for f in open_], F.array_sort(F.collect_set(error)).alias("_errors"))
+    done = df.join(own, key, "left")
+    new = {f.name: F.when(F.col(f"_{f.name}").isNotNull(), read_json(F.col(f"_{f.name}")["new"], f.dataType)).otherwise(F.col(f"`{f.name}`")) for f in open_}
+    errors = F.coalesce("_errors", F.array().cast("array<string>"))
+    return done.select(*key, *[new.get(f.name, F.col(f"`{f.name}`")).alias(f.name) for f in schema if f.name not in key], F.when(F.size(errors) > 0, "error").otherwise("ok").alias("status"), errors.alias("errors"))
+
+
 def apply_table(df: DataFrame, ops: DataFrame, key: list[str], schema: T.StructType | None = None) -> DataFrame:
     """Each entity's own operations in order of seq; one shuffle of the op rows and one join.
 
     Operations may add, replace, remove, move, copy and log at top-level scalar fields, strictly or
     not: a fold over the entity's sorted ops, in JVM expressions. Op tables with conditions or
-    nested paths go to apply_table_general. Adds status and errors; entities without ops are ok.
+    nested paths go to apply_table_general, plain writes only to apply_writes. Adds status and errors; entities without ops are ok.
     """
     schema = schema or df.schema
     fields = [f for f in schema if f.name not in key]
@@ -192,12 +223,6 @@ def apply_table(df: DataFrame, ops: DataFrame, key: list[str], schema: T.StructT
     kinds = T.StructType([T.StructField(f.name, f.dataType) for f in scalar] + [T.StructField("_errors", T.ArrayType(T.StringType()))])
     own = op_table(ops, key).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "path", "from_path", "old", "new", "strict"))).alias("_ops"))
 
-    def read(text: Column, dtype: T.DataType) -> Column:
-        """Canonical JSON text as a value."""
-        if isinstance(dtype, T.StringType):
-            return F.when(text.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v")).otherwise(F.when(text != "null", text))
-        return F.trim(F.translate(text, '"', "")).try_cast(dtype)
-
     def fold(acc: Column, op: Column) -> Column:
         out = {f.name: acc[f.name] for f in scalar}
         paths = {f.name: F.lit(f"/{f.name}") for f in scalar}
@@ -211,7 +236,7 @@ def apply_table(df: DataFrame, ops: DataFrame, key: list[str], schema: T.StructT
                 read_only = read_only | where(f)
             if tagged(f, IGNORE):
                 ignored = ignored | where(f)
-            strict_bad = strict_bad | (where(f) & ~acc[f.name].eqNullSafe(read(op["old"], f.dataType)))
+            strict_bad = strict_bad | (where(f) & ~acc[f.name].eqNullSafe(read_json(op["old"], f.dataType)))
         shifts = op["kind"].isin("move", "copy")
         error = (
             F.when((op["kind"] == "log") | ignored, F.lit(None).cast("string"))
@@ -222,7 +247,7 @@ def apply_table(df: DataFrame, ops: DataFrame, key: list[str], schema: T.StructT
         )
         good = error.isNull() & (op["kind"] != "log") & ~ignored
         for f in scalar:
-            value = F.when(op["kind"].isin("add", "replace"), read(op["new"], f.dataType)).when(shifts, text_of.try_cast(f.dataType))
+            value = F.when(op["kind"].isin("add", "replace"), read_json(op["new"], f.dataType)).when(shifts, text_of.try_cast(f.dataType))
             gone = (op["kind"] == "move") & F.coalesce(where(f, "from_path"), F.lit(False)) & ~where(f)
             out[f.name] = F.when(good & where(f), value).when(good & gone, F.lit(None).cast(f.dataType)).otherwise(acc[f.name])
         errors = F.when(error.isNotNull(), F.array_append(acc["_errors"], error)).otherwise(acc["_errors"])

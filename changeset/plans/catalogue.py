@@ -282,7 +282,7 @@ PATCHED = """ops AS (SELECT l_orderkey AS o_orderkey, row_number() OVER (PARTITI
 SELECT o.o_orderkey, CASE WHEN ns > 0 THEN s ELSE o_orderstatus END o_orderstatus, CASE WHEN np > 0 THEN p ELSE o_orderpriority END o_orderpriority, 'ok' status FROM orders o LEFT JOIN last USING (o_orderkey)""")
 def apply_patch_table(spark: SparkSession, d: str) -> DataFrame:
     """Every order's own operations, the last at a path counts."""
-    return apply.apply_table(_orders(spark, d).drop("o_custkey"), op_rows(spark, d).withColumn("strict", F.lit(False)), KEY).drop("errors")
+    return apply.apply_writes(_orders(spark, d).drop("o_custkey"), op_rows(spark, d).withColumn("strict", F.lit(False)), KEY).drop("errors")
 
 
 @query(f"""WITH RECURSIVE {PATCHED}, f AS (SELECT o_orderkey, 0 seq, o_orderstatus s, o_orderpriority p, 0 bad FROM orders
@@ -432,7 +432,7 @@ def patch_summary(spark: SparkSession, d: str) -> DataFrame:
 def roundtrip_apply_diff(spark: SparkSession, d: str) -> DataFrame:
     """apply(a, diff(a, b)) is b."""
     a, b = _snapshots(spark, d)
-    return apply.apply_table(a, diff.diff(a, b, KEY), KEY).join(b.select(*KEY), KEY, "left_semi").select(*b.columns)
+    return apply.apply_writes(a, diff.diff(a, b, KEY).where("path <> '/'"), KEY).join(b.select(*KEY), KEY, "left_semi").select(*b.columns)
 
 
 @query(f"{SNAPS} SELECT * FROM snap_a WHERE o_orderkey IN (SELECT o_orderkey FROM snap_b)")

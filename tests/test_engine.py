@@ -339,6 +339,18 @@ def test_text_fields_merge_when_applied(spark):
     assert text.render_text(done, ["doc"]).first()["text"] == "I held!"
 
 
+def test_plain_writes_agree_with_the_fold(spark):
+    df = spark.createDataFrame([(1, "a", 1, 1), (2, "b", 2, 2), (3, "c", 3, 3)], "id long, s string, n long, ro long")
+    kinds = "id long, seq int, kind string, path string, old string, new string, strict boolean"
+    rows = [(1, 0, "replace", "/s", None, '"x"', False), (1, 1, "replace", "/n", None, "7", False), (1, 2, "remove", "/s", None, None, False), (1, 3, "add", "/n", None, '"8"', False), (2, 0, "replace", "/ro", None, "9", False), (2, 1, "replace", "/zz", None, "9", False)]
+    schema = S.with_tags(df.schema, {"ro": [S.READONLY]})
+    ops_ = spark.createDataFrame(rows, kinds)
+    one, two = (sorted(map(tuple, f(df, ops_, ["id"], schema).collect())) for f in (apply.apply_writes, apply.apply_table))
+    assert one == two and one[0][:3] == (1, None, 8) and one[1][-1] == ["/ro: field is read-only", "/zz: no such field"]
+    odd = apply.apply_writes(df, spark.createDataFrame([(1, 0, "replace", "/s", None, '"x"', True)], kinds), ["id"]).orderBy("id").first()
+    assert odd["s"] == "a" and odd["errors"] == ["/s: not a plain write"]
+
+
 def test_small_helpers(spark):
     assert P.resolve_parent("/a/b~1c") == ("/a", "b/c")
     with pytest.raises(P.PathError):
