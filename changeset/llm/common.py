@@ -38,7 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and a lost executor loses nothing."""
+    """Write df to the shared folder and read it back: lineage ends there and a lost executor loses nothing.
+
+    An aggregate that is joined back on its own key is written first as well: the join's sides then each
+    come from a plain exchange, and only such joins have their skewed partitions split at run time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)

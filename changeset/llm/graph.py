@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Edge tables of at most so many rows stay in one partition, so that their rounds need no shuffle; larger ones are dealt out.
+ONE_TASK = 100_000
+
+
+def _pairs(*columns: tuple[str, str]) -> Column:
+    """A row (u, v) for each pair of columns."""
+    return F.inline(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in columns]))
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) edges -> (node, root) for every node with an edge to another; root is the smallest node reached.
@@ -15,6 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     round ends in a written table, so lineage stays short. Neighbourhoods are never
     gathered: a step takes a partially aggregated minimum and joins it back, so a
     node with very many neighbours is split by the adaptive skew join.
+    The steps are the same at every size; a table that is small by its count just isn't dealt out.
     Edges with a null end and loops are dropped. No edges: no rows.
     """
     pair = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -25,10 +34,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if seen == before or not seen[0]:
             break
         before = seen
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if seen[0] <= ONE_TASK:
+            now = now.coalesce(1)
+        both = now.select(_pairs(("u", "v"), ("v", "u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now = materialize(large.join(low, "u").select(_pairs(("v", "m"), ("u", "m"))).where("u <> v").distinct(), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, chunks, digest, gram_hashes, hash_words, materialize
+from .common import Words, arrow_map, chunks, digest, gram_hashes, materialize
 from .graph import connected_components
 
 #: Hashes a sketch retains, and how many retained neighbours make the key of an inverted list. Two sets of Jaccard
@@ -19,19 +19,20 @@ from .graph import connected_components
 KEEP, RUN = 40, 3
 #: The estimate from 40 hashes deviates by 0.063 at 0.8; a pair is passed on from five and a half deviations below.
 SLACK = 0.35
-#: Rounds of stars after which what is left of the lists is paired whole; a round more is made while pairs exceed STAR_PAIRS for each document.
-STAR_ROUNDS, STAR_PAIRS = 5, 2
+#: Lists with more members are crowded: their members are compared in blocks of about so many hashes, without pairing rows.
+CROWD, BLOCK_HASHES = 24, 1 << 17
 
 
-def _shingle_sets(texts: list[bytes], size: int, memo: WordHashes) -> Iterator[np.ndarray]:
+def _shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles."""
-    words = [t.lower().split() for t in texts]
-    h, at = hash_words(words, memo)
+    words = Words([t.lower() for t in texts])
+    h, at = words.hashes, words.offsets
     grams = gram_hashes(h, size).view(np.int64)
     for i in range(len(texts)):
         a, b = at[i], at[i + 1]
         if b - a >= size:
-            yield np.unique(grams[a : b - size + 1])
+            own = np.sort(grams[a : b - size + 1])
+            yield own[np.concatenate([[True], own[1:] != own[:-1]])]
         elif b > a:
             yield np.array([xxhash.xxh64_intdigest(h[a:b].tobytes(), int(b - a))], np.uint64).view(np.int64)
         else:
@@ -42,9 +43,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, td, n (shingles), sd (digest of the set), sketch (its smallest KEEP hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch, texts in chunks(batches):
-            sets = list(_shingle_sets(texts, size, memo))
+            sets = list(_shingle_sets(texts, size))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("td"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s[:KEEP] for s in sets], pa.list_(pa.int64()))],
                 ["doc_id", "td", "n", "sd", "sketch"],
@@ -58,9 +58,8 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """sd, items: the whole set of each of the nodes (sd, td), computed from one of its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch, texts in chunks(batches):
-            sets = [s.tobytes() for s in _shingle_sets(texts, size, memo)]
+            sets = [s.tobytes() for s in _shingle_sets(texts, size)]
             yield pa.RecordBatch.from_arrays([batch.column("sd"), pa.array(sets, pa.binary())], ["sd", "items"])
 
     texts = docs.select(digest(F.col("text")).alias("td"), "text")
@@ -96,14 +95,65 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.withColumn("est", est).where(F.col("est") >= 0.8 - SLACK).select("a", "b", "est")
 
 
+def _linked(mine: list[tuple[bytes, np.ndarray]], theirs: list[tuple[bytes, np.ndarray]]) -> list[tuple[bytes, bytes]]:
+    """Of all links between two blocks of sets, as many as join what they join: at most one less than there are sets."""
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    sizes = np.array([len(v) for _, v in theirs])
+    values = np.concatenate([v for _, v in theirs])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(theirs)), sizes)[order]
+    out = []
+    for name, own in mine:
+        low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        count = high - low
+        at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        shared = np.bincount(owner[at], minlength=len(theirs))
+        for j in np.flatnonzero(100 * shared >= 80 * (len(own) + sizes - shared)).tolist():
+            x, y = root(name), root(theirs[j][0])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((name, theirs[j][0]))
+    return out
+
+
+def _crowd_links(crowded: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among the members of crowded lists (key, sd). Lists that share members form a crowd; its members are
+    dealt into blocks of bounded size, and each two blocks are one row, compared exactly by an inverted index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, x, y in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "x", "y")), strict=True):
+                blocks = [[(d["sd"], np.frombuffer(d["items"], np.int64)) for d in side] for side in (x, y)]
+                found = _linked(blocks[0], blocks[0] if i == j else blocks[1])
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    first = crowded.groupBy("key").agg(F.min("sd").alias("m"))
+    # A member has at most KEEP lists; it and their first members are tied to the least of these.
+    hubs = crowded.join(first, "key").groupBy("sd").agg(F.min("m").alias("b"), F.collect_set("m").alias("ms"))
+    crowd = connected_components(hubs.select(F.explode(F.array_append("ms", F.col("sd"))).alias("a"), "b"))
+    members = crowd.select(F.col("node").alias("sd"), F.col("root").alias("crowd")).join(sets, "sd")
+    weight = members.groupBy("crowd").agg(F.ceil(F.sum(F.octet_length("items")) / (8 * BLOCK_HASHES)).cast("int").alias("n"))
+    blocks = members.join(weight, "crowd").groupBy("crowd", "n", F.pmod(F.xxhash64("sd"), F.col("n")).cast("int").alias("i")).agg(F.collect_list(F.struct("sd", "items")).alias("x"))
+    blocks = materialize(blocks, "blocks")
+    left = blocks.select("crowd", "i", "x", F.explode(F.sequence("i", F.col("n") - 1)).alias("j"))
+    pairs = left.join(blocks.select("crowd", F.col("i").alias("j"), F.col("x").alias("y")), ["crowd", "j"]).select("i", "j", "x", "y")
+    return arrow_map(pairs, run, "a binary, b binary")
+
+
 def classes(docs: DataFrame, size: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document.
 
     docs: doc_id, text. Documents with one shingle set are one class, represented once, so copies are
     never paired. Each class enters the inverted lists of its keys (runs of RUN retained hashes). The
-    members of a list are first linked with its centre, which changes from round to round; what then
-    still lies in different components of one list is paired whole. Pairs are estimated by union
-    sketches, and all links are confirmed on full sets. Null and empty texts have no
+    members of crowded lists are compared in blocks. Members of the other lists are first linked with
+    their list's centre; what then still lies in different components of one list is paired. Pairs are
+    estimated by union sketches, and all links are confirmed on full sets. Null and empty texts have no
     shingles and are linked with nothing, each its own component. A null doc_id has its group's
     smallest id, or none; repeated rows are alike. Empty table: no rows.
     """
@@ -112,44 +162,29 @@ def classes(docs: DataFrame, size: int = 4) -> DataFrame:
     runs = lambda k: F.transform(F.sequence(F.lit(0), F.size("sketch") - k), lambda i: F.xxhash64(*[F.get("sketch", i + j) for j in range(k)]))
     pairs_too = F.when(F.col("n").between(4, 5), runs(RUN - 1)).otherwise(F.array().cast("array<bigint>"))
     lists = nodes.where("n >= 4").select("sd", F.explode(F.array_distinct(F.concat(runs(RUN), pairs_too))).alias("key"))
-    shared = lists.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = lists.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    shared = materialize(shared, "shared")
     lists = materialize(lists.join(shared, "key"), "lists")
     nodes = materialize(nodes.join(lists.select("sd").distinct(), "sd", "left_semi"), "nodes")
-    n_nodes = nodes.count()
-    comps = sets = links = tried = None
-    for rnd in range(STAR_ROUNDS + 1 if n_nodes else 0):
-        now = lists.withColumn("comp", F.col("sd")) if comps is None else lists.join(comps, lists["sd"] == comps["node"], "left").select("key", "sd", F.coalesce("root", "sd").alias("comp"))
-        per = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        open_ = per.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("comps")).where("comps > 1")
-        open_ = materialize(open_.select("key", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")), "open")
-        left = open_.agg(F.sum("pairs")).first()[0]
-        if not left:
-            break
-        now = now.join(open_.select("key"), "key")
-        last = rnd == STAR_ROUNDS or rnd > 0 and left <= STAR_PAIRS * n_nodes
-        if last:
+    comps = links = None
+    if not nodes.isEmpty():
+        sets = materialize(_sets_of(docs, nodes, size), "sets")
+        links = materialize(_crowd_links(lists.where(F.col("c") > CROWD).select("key", "sd"), sets), "links")
+        comps = connected_components(links)
+        lists = lists.where(F.col("c") <= CROWD)
+    for step in ("stars", "pairs") if links is not None else ():
+        now = lists.join(comps, lists["sd"] == comps["node"], "left").select("key", "sd", F.coalesce("root", "sd").alias("comp"))
+        if step == "stars":
+            centre = now.groupBy("key").agg(F.min(F.struct("sd", "comp")).alias("m")).select("key", F.col("m.sd").alias("a"), F.col("m.comp").alias("ca"))
+            pairs = centre.join(now.select("key", F.col("sd").alias("b"), F.col("comp").alias("cb")), "key").where("a <> b and ca <> cb")
+        else:
             x, y = now.select("key", F.col("sd").alias("a"), F.col("comp").alias("ca")), now.select("key", F.col("sd").alias("b"), F.col("comp").alias("cb"))
             pairs = x.join(y, "key").where("a < b and ca <> cb")
-        else:
-            centre = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("sd", F.lit(rnd)), "sd", "comp")).alias("m")).select("key", F.col("m.sd").alias("m"), F.col("m.comp").alias("mc"))
-            pairs = now.join(centre, "key").where("m <> sd and mc <> comp").select(F.least("sd", "m").alias("a"), F.greatest("sd", "m").alias("b"))
         pairs = materialize(_estimated(pairs.select("a", "b").distinct(), nodes), "pairs")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if not last:
-            # Of each member the most promising pair; the others are met again if it remains apart.
-            best = pairs.select(F.explode(F.array("a", "b")).alias("of"), "a", "b", "est").groupBy("of").agg(F.max(F.struct("est", "a", "b")).alias("m"))
-            pairs = materialize(best.select("m.a", "m.b").distinct(), "pairs")
-            tried = pairs if tried is None else tried.unionByName(pairs)
-        if sets is None:
-            sets = materialize(_sets_of(docs, nodes, size), "sets")
-        new = _verified(pairs, sets)
-        links = materialize(new if links is None else links.unionByName(new), "links")
+        links = materialize(links.unionByName(_verified(pairs, sets)), "links")
         comps = connected_components(links)
-        if last:
-            break
     grouped = sig.where("n > 0").select("doc_id", "n", "sd")
     rooted = grouped.withColumn("root", F.col("sd")) if comps is None else grouped.join(comps, grouped["sd"] == comps["node"], "left").select("doc_id", "n", F.coalesce("root", "sd").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    first = materialize(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
     out = rooted.join(first, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(sig.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from changeset.llm import chat, decontaminate, lang_id, license_scan, mixing, near_dedup, quality, queries, substring_dedup, token_count, url_filter
+from changeset.llm import chat, common, decontaminate, graph, lang_id, license_scan, mixing, near_dedup, quality, queries, substring_dedup, token_count, url_filter
 from changeset.llm.graph import connected_components
 
 SF = "/root/testdata/sf0.01"
@@ -83,9 +83,11 @@ def test_near_duplicates_match_brute_force(which, request):
     assert got == brute_classes(rows)
 
 
-def test_near_duplicates_through_rounds(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [2, 24, 1000])
+def test_near_duplicates_through_rounds(spark, monkeypatch, crowd):
     """Chains of edits: neighbours are linked, ends are not; stars alone don't join them."""
-    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    monkeypatch.setattr(near_dedup, "BLOCK_HASHES", 1500)
     base = [f"k{i}" for i in range(120)]
     rows = []
     for g in range(3):
@@ -281,7 +283,22 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.where("false"), queries.URL_RULES).count() == 0
 
 
-def test_components(spark):
+def test_word_hashes(monkeypatch):
+    monkeypatch.setattr(common, "SEGMENT", 7)
+    texts = [b"", b" a  bb\tccc\x0b", "ünï a".encode(), b"x" * 40, b"\n", b"bb a"]
+    words = common.Words(texts)
+    split = [t.split() for t in texts]
+    assert np.diff(words.offsets).tolist() == [len(w) for w in split]
+    flat = [w for ws in split for w in ws]
+    assert [words.text(i, i + 1) for i in range(len(flat))] == flat and words.text(0, 3) == b"a bb ccc"
+    by_word = {w: int(h) for w, h in zip(flat, words.hashes, strict=True)}
+    assert all(by_word[w] == int(h) for w, h in zip(flat, words.hashes, strict=True)) and len(set(by_word.values())) == len(by_word)
+    assert len(common.Words([]).hashes) == 0
+
+
+@pytest.mark.parametrize("one_task", [0, 100_000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(5, None)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -299,11 +316,13 @@ def test_components(spark):
 
 
 def test_quality_rules(odd, empty):
-    good = "A sentence of ten words stands here for the test %d.\n"
-    text = "".join(good % i for i in range(8)) + "Home | About | Contact.\nno sentence end\nAll rights reserved.\n" + good % 1
+    good = [f"Sentence {i} has x{i} words{i} of y{i} number{i}, z{i} own{i}." for i in range(9)]
+    text = "\n".join([*good, "Home | About | Contact.", "no sentence end", "All rights reserved.", good[1]])
     n, chars, symbols, dup, repeats, failed, kept, left, rest = quality.judge_text(text.encode())
-    assert (n, dup, failed, kept) == (101, 1, False, True) and symbols == 2 and chars == len("".join(text.split()))
-    assert left == 90 and b"rights" not in rest and b"Home" not in rest and b"no sentence" not in rest
-    assert repeats > 80 and quality.judge_text(b"x y z " * 40)[4] == 120
+    lost = sum(len(x.split()) for x in ("Home | About | Contact.", "no sentence end", "All rights reserved."))
+    assert (n, dup, failed, kept, symbols) == (len(text.split()), 1, False, True, 2) and chars == len("".join(text.split()))
+    assert left == n - lost and b"rights" not in rest and b"Home" not in rest and b"no sentence" not in rest
+    assert repeats == 2 * len(good[1].split()) and quality.judge_text(b"x y z " * 40)[4] == 120
+    assert not quality.judge_text("\n".join([*good, *["no end here at all"] * 40]).encode())[6]
     rows = quality.judge_documents(odd, ["doc_id"]).collect()
     assert len(rows) == len(ODD) and quality.judge_documents(empty, ["doc_id"]).count() == 0
