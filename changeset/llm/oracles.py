@@ -57,6 +57,7 @@ cov AS (SELECT rid, count(DISTINCT i + o) n FROM twice, (VALUES (0), (1), (2)) v
 l AS (SELECT rid, pos, line, {_words('line')} lw FROM (SELECT rid, unnest(string_split(t, chr(10))) line, generate_subscripts(string_split(t, chr(10)), 1) pos FROM d)),
 lx AS (SELECT rid, len(lw) n, row_number() OVER (PARTITION BY rid, line ORDER BY pos) > 1 dup,
   NOT right(rtrim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 1) IN ('.', '!', '?', ':', ';', ',', '"', '''', ')', ']', '…', '”', '’', '»', '。', '！', '？')
+  OR 10 * length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > 3 * len(lw)
   OR len(lw) >= 3 AND 5 * len(list_filter(lw, lambda x: x IN ('|', '»', '›', '•'))) >= len(lw)
   OR regexp_matches({_lower('line')}, 'all rights reserved|cookie policy|privacy policy|terms of use|terms of service|enable javascript|subscribe to our newsletter|click here to') bad FROM l WHERE len(lw) > 0),
 ls AS (SELECT rid, count(*) FILTER (WHERE dup) dups, CAST(coalesce(sum(n) FILTER (WHERE bad), 0) AS bigint) lost FROM lx GROUP BY 1),

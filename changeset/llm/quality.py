@@ -22,11 +22,13 @@ MOST_LOST = 0.5
 #: Base rules of a document.
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
 SYMBOLS = b"#*$%&|<>"
+#: A line with more symbols than this for ten words is no sentence.
+SYMBOLS_IN_TEN = 3
 
 
 def line_fails(line: bytes, words: list[bytes]) -> bool:
-    """Whether a line with words fails a rule: punctuation (no sentence end), navigation, boilerplate."""
-    if not line.rstrip(SPACE).endswith(ENDS):
+    """Whether a line with words fails a rule: punctuation (no sentence end, too many symbols), navigation, boilerplate."""
+    if not line.rstrip(SPACE).endswith(ENDS) or 10 * sum(line.count(SYMBOLS[i : i + 1]) for i in range(len(SYMBOLS))) > SYMBOLS_IN_TEN * len(words):
         return True
     if len(words) >= 3 and BAR_EVERY * sum(words.count(x) for x in BARS) >= len(words):
         return True
