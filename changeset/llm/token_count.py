@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, shared_dir
+from .common import arrow_map, materialize, shared_dir, texts_of
 
 CACHE_SCHEMA = "tokenizer string, content binary, n_tokens long"
 #: Texts encoded at once; a batch of the library holds all their tokens.
@@ -24,32 +24,75 @@ def tokenizer_version(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes()).hexdigest()
 
 
-def normalised(text: Column, path: str) -> Column:
-    """The content that a digest stands for. If a .json tokenizer replaces white space runs by one blank itself and
-    its pre-tokenizer drops blanks, runs of blanks, tabs and line ends count as one blank; else the text as it is."""
-    text = F.coalesce(text, F.lit(""))
+#: Fixed value: a pre-tokenizer pattern none of whose pieces holds white space.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words that a worker remembers with their counts.
+MEMO_WORDS = 800_000
+_MEMO: dict[str, dict[bytes, int]] = {}
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer's count of a text is the sum over its words: a .json one that lower-cases, takes white space
+    as blanks, keeps the pieces of PIECES and drops all else, and adds nothing of its own around a text."""
     if not path.endswith(".json"):
-        return text
+        return False
     spec = json.loads(Path(path).read_text())
     steps = lambda x, key: (x or {}).get(key) or ([x] if x else [])
-    one_blank = any(s.get("type") == "Replace" and s.get("pattern", {}).get("Regex") == r"\s+" and s.get("content") == " " for s in steps(spec.get("normalizer"), "normalizers"))
-    dropped = any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") for s in steps(spec.get("pre_tokenizer"), "pretokenizers"))
-    return F.regexp_replace(text, r"[ \t\n\r]+", " ") if one_blank and dropped else text
+    normal = [(s["type"], (s.get("pattern") or {}).get("Regex"), s.get("content")) for s in steps(spec.get("normalizer"), "normalizers")]
+    cut = (steps(spec.get("pre_tokenizer"), "pretokenizers") or [{}])[0]
+    split = cut.get("type") == "Split" and cut.get("behavior") == "Removed" and cut.get("invert") and cut.get("pattern", {}).get("Regex") == PIECES
+    return bool(split) and normal == [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)]
+
+
+def normalised(text: Column, path: str) -> Column:
+    """The content that a digest stands for: where only words count, line ends and tabs are blanks and those at the ends go; else the text as it is."""
+    text = F.coalesce(text, F.lit(""))
+    if not by_words(path):
+        return text
+    for mark in "\n\t\r":
+        text = F.replace(text, F.lit(mark), F.lit(" "))
+    return F.trim(text)
 
 
-def _encoder(path: str):
+def _encoder(path: str, version: str):
+    """Texts as bytes -> their numbers of tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path.endswith(".model"):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+        piece = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: [len(x) for x in piece.encode([t.decode() for t in texts], num_threads=1)]
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
     model.no_truncation()
     model.no_padding()
-    return lambda texts: [len(x.ids) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+    special = [t.content.encode() for t in model.get_added_tokens_decoder().values()]
+
+    def whole(texts: list[bytes]) -> list[int]:
+        return [len(x.ids) for x in model.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    if not by_words(path):
+        return whole
+    memo = _MEMO.setdefault(version, {})
+
+    def count(texts: list[bytes]) -> list[int]:
+        # Lower case first, as the tokenizer does; not where that might make or break a special string.
+        low = [t.lower() for t in texts]
+        odd = [i for i, (t, x) in enumerate(zip(texts, low, strict=True)) if any(s in t or s in x for s in special)]
+        words = [x.split() for x in low]
+        for i in odd:
+            words[i] = []
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        new = list({w for ws in words for w in ws if w not in memo})
+        memo.update(zip(new, whole(new), strict=True))
+        out = [sum(map(memo.__getitem__, ws)) for ws in words]
+        for i, n in zip(odd, whole([texts[i] for i in odd]), strict=True):
+            out[i] = n
+        return out
+
+    return count
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,9 +117,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     misses = distinct.join(known, "content", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _encoder(tokenizer_path)
+        count = _encoder(tokenizer_path, version)
         for batch in batches:
-            texts, out, held, size = batch.column("text").to_pylist(), [], [], 0
+            texts, out, held, size = texts_of(batch.column("text")), [], [], 0
             for text in texts:
                 held.append(text)
                 size += len(text)
@@ -87,5 +130,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(out), pa.string()), batch.column("content"), pa.array(out, pa.int64())], ["tokenizer", "content", "n_tokens"])
 
     arrow_map(misses, encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = materialize(spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return keyed.join(stored, "content").select("doc_id", "n_bytes", "n_tokens")
