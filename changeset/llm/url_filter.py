@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, materialize
 from .graph import connected_components
 
 #: Rule lists up to this length become expressions of the scan; longer ones are joined by host suffix.
@@ -77,7 +77,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: D
     judged = judged.join(groups.withColumnRenamed("root", "group"), judged["node"] == groups["node"], "left").drop(groups["node"])
     judged = judged.withColumn("group", F.coalesce("group", "node"))
     # One row for each group that a rule speaks about: partial counts first, so a hot group is no hot task.
-    said = judged.where("group is not null and fit is not null").groupBy("group").agg(F.max(F.expr("fit.verdict = 'allow'")).alias("allowed"))
+    said = materialize(judged.where("group is not null and fit is not null").groupBy("group").agg(F.max(F.expr("fit.verdict = 'allow'")).alias("allowed")), "said")
     out = judged.join(said, "group", "left")
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("allowed").eqNullSafe(False), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "group")
