@@ -96,6 +96,7 @@ class Patch:
         return replace(self, guard=cond)
 
     def __str__(self) -> str:
+        # The wording of the lines, here and in line_of.
         if not self.ops:
             return "No changes."
         line = {
