@@ -12,7 +12,8 @@ from ..functions import conditions as C
 from ..functions import schema as S
 from ..functions.paths import resolve
 from ..operators import apply, crdt, diff, edit_script, merge, moves, ops, text
-from ..sources import codec
+from ..sources import codec, snapshots
+from ..streaming import deltas
 from .fixtures import KEYED_DUCK, LISTS_DUCK, REPLICA_DUCK, duck, keyed_lists, op_rows, replica, status_lists, table, text_runs, type_counts, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -606,11 +607,7 @@ def edit_script_len(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{duck('stamped')} SELECT user_id, '/' || event_type path, arg_max(CAST(event_id AS varchar), {LAST}) AS new FROM stamped GROUP BY 1, 2")
 def stream_lww(spark: SparkSession, d: str) -> DataFrame:
     """Events delivered twice as a stream of deltas; the final state is the batch state."""
-    import uuid
-
-    from ..streaming import deltas
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = snapshots.scratch(spark, "stream")
     rows = _stamped(spark, d).select("user_id", F.concat(F.lit("/"), "event_type").alias("path"), F.lit("replace").alias("kind"), F.col("event_id").cast("string").alias("new"), "hlc", (F.col("event_id") % 4).alias("file"))
     rows.unionByName(rows.where("file = 1")).repartition(5, "file").drop("file").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.drop("file").schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")

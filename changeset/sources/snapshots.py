@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.schema import supported
@@ -22,11 +29,16 @@ def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "
 
 def require_key(df: DataFrame, key: list[str]) -> None:
     """Refuses null and repeated entity keys; one aggregate."""
-    from functools import reduce
-
-    from pyspark.sql import functions as F
-
     null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
     bad = df.groupBy(*key).count().where((F.col("count") > 1) | null).limit(1).collect()
     if bad:
         raise ValueError(f"key {key} is null or repeated: {bad[0]}")
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder name below spark.checkpoint.dir, which all executors share; below a temporary folder where that is unset (local runs)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="changeset-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
