@@ -136,7 +136,7 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, h
     place = F.xxhash64("td", "start")
     again = materialize(where.groupBy("least").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("least"), "repeated")
     shared = materialize(where.join(again, "least"), "minimisers")
-    crowd = shared.groupBy("least").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("least", F.lit(True).alias("hot"))
+    crowd = materialize(shared.groupBy("least").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("least", F.lit(True).alias("hot")), "crowd")
     sides = shared.join(crowd, "least", "left").groupBy("td").agg(F.collect_list(F.when(F.col("hot").isNull(), F.col("start"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("start"))).alias("warm"))
     held = texts.select("td", "text").join(sides, "td")
     strings = arrow_map(held.where("size(cold) > 0").select("td", "text", "cold"), packed, "least long, td binary, start int, packed binary")
