@@ -15,8 +15,8 @@ from .common import LETTER, arrow_map, chunks
 
 #: Bytes of a window, of the widest filter, numbers of an embedded byte, filters of each width.
 WINDOW, WIDTHS, WIDE, EMBED, FILTERS = 256, (2, 3, 4), 4, 8, 10
-#: The bounded sample: documents of each language, windows of a document, languages.
-DOCS_PER_LANG, WINDOWS_PER_DOC, MOST_LANGS = 400, 3, 1000
+#: The bounded sample: documents of each language, windows of a document, the most frequent languages, documents in all.
+DOCS_PER_LANG, WINDOWS_PER_DOC, MOST_LANGS, MOST_DOCS = 400, 3, 1000, 40_000
 EPOCHS, BATCH, RATE = 14, 64, 4e-3
 #: A-Z as a-z, digits as one; the rest as it is. 0 pads.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256)], np.uint8)
@@ -124,14 +124,13 @@ def is_held_out(doc_id: Column) -> Column:
 
 def fit(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> ByteNet | None:
     """Trains on a bounded sample of labelled (id, text, lang): of each language about docs_per_lang
-    documents, those of smallest hash, with up to WINDOWS_PER_DOC windows of each, cut out on the
-    executors. Rows without text or lang are left out; None if none remain."""
+    documents (fewer each where languages are many), those of smallest hash, with up to WINDOWS_PER_DOC
+    windows of each, cut out on the executors. Of over MOST_LANGS languages the most frequent are learned. Rows without text or lang are left out; None if none remain."""
     rows = labelled.where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy("lang").limit(MOST_LANGS + 1).collect()
-    if len(sizes) > MOST_LANGS:
-        raise ValueError(f"over {MOST_LANGS} languages")
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
     if not sizes:
         return None
+    docs_per_lang = max(1, min(docs_per_lang, MOST_DOCS // len(sizes)))
     # A hash threshold for each language gives about 1.3 * docs_per_lang rows; the rest goes below.
     share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, 1.3 * docs_per_lang / r["count"]))])
     order = F.xxhash64(F.col("id").cast("string"), "text")
