@@ -133,7 +133,7 @@ def _crowd_links(crowded: DataFrame, sets: DataFrame) -> DataFrame:
                 found = _linked(blocks[0], blocks[0] if i == j else blocks[1])
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    first = crowded.groupBy("key").agg(F.min("sd").alias("m"))
+    first = materialize(crowded.groupBy("key").agg(F.min("sd").alias("m")), "firsts")
     # A member has at most KEEP lists; it and their first members are tied to the least of these.
     hubs = crowded.join(first, "key").groupBy("sd").agg(F.min("m").alias("b"), F.collect_set("m").alias("ms"))
     crowd = connected_components(hubs.select(F.explode(F.array_append("ms", F.col("sd"))).alias("a"), "b"))
