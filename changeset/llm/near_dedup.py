@@ -138,7 +138,7 @@ def _crowd_links(crowded: DataFrame, sets: DataFrame) -> DataFrame:
     hubs = crowded.join(first, "key").groupBy("sd").agg(F.min("m").alias("b"), F.collect_set("m").alias("ms"))
     crowd = connected_components(hubs.select(F.explode(F.array_append("ms", F.col("sd"))).alias("a"), "b"))
     members = crowd.select(F.col("node").alias("sd"), F.col("root").alias("crowd")).join(sets, "sd")
-    weight = members.groupBy("crowd").agg(F.ceil(F.sum(F.octet_length("items")) / (8 * BLOCK_HASHES)).cast("int").alias("n"))
+    weight = materialize(members.groupBy("crowd").agg(F.ceil(F.sum(F.octet_length("items")) / (8 * BLOCK_HASHES)).cast("int").alias("n")), "weights")
     blocks = members.join(weight, "crowd").groupBy("crowd", "n", F.pmod(F.xxhash64("sd"), F.col("n")).cast("int").alias("i")).agg(F.collect_list(F.struct("sd", "items")).alias("x"))
     blocks = materialize(blocks, "blocks")
     left = blocks.select("crowd", "i", "x", F.explode(F.sequence("i", F.col("n") - 1)).alias("j"))
