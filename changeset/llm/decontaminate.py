@@ -50,12 +50,26 @@ def _counted(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key, "h").agg(F.count("*").alias("c"))
 
 
+def _starts(least: float) -> Column:
+    """Starts of all windows of n words that could reach least, from the sorted places at of the shingles that text and items share.
+
+    Of the window's and the item's shingles together, least / (1 + least) have to be shared; as many places in a
+    row lie in the windows that start from n - k before the last of them up to the first.
+    """
+    reach, last = F.col("n") - F.col("k"), F.greatest(F.lit(0), F.col("n_words") - F.col("n"))
+    mass = F.least("n", "n_words") + F.col("n") - 2 * F.col("k") + 2
+    need = F.greatest(F.lit(1), F.ceil(mass * F.lit(least / (1 + least)) - 1e-9).cast("int"))
+    firsts = F.slice("at", F.lit(1), F.greatest(F.lit(0), F.size("at") - need + 1))
+    spans = F.zip_with(firsts, F.slice("at", need, F.size(firsts)), lambda first, end: F.struct(F.greatest(F.lit(0), end - reach).alias("low"), F.least(first, last).alias("high")))
+    return F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda x: x["low"] <= x["high"]), lambda x: F.sequence(x["low"], x["high"]))))
+
+
 def leaks(texts: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """Passages of texts that are about a benchmark item.
 
-    texts: td (a text's digest), text; benchmark: item_id, text. A window of an item's number of words
-    is laid wherever it and the text share a shingle at the same place in both; a window without any
-    shared shingle has similarity 0, so none is missed. Windows' and items' SimHash fingerprints meet through
+    texts: td (a text's digest), text; benchmark: item_id, text. Windows of an item's number of words
+    are laid wherever enough of their shingles, in any order, are among those of the items of that
+    number: a window with fewer can't reach least. Windows' and items' SimHash fingerprints meet through
     the Hamming blocks, are held within RADIUS, and then verified by the weighted similarity of the
     shingles (sum of smaller by sum of larger numbers of occurrences). Items with fewer than
     five words count as one shingle of their own length; items without words match nothing.
@@ -65,18 +79,18 @@ def leaks(texts: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataF
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most SHINGLE of them
     arrays = items.select("item_id", "n", "k", F.coalesce(*[F.when(F.col("k") == k, shingles(F.col("words"), k)) for k in sizes] or [F.array().cast("array<bigint>")]).alias("sh"))
     item_rows = materialize(arrays.select("item_id", "n", "k", F.posexplode("sh").alias("at", "h")), "items")
-    wanted = materialize(item_rows.select("k", "n", "at", "h").distinct(), "items")
+    wanted = materialize(item_rows.select("k", "n", "h").distinct(), "items")
     few = F.broadcast if wanted.count() <= BROADCAST_SHINGLES else lambda x: x
     hit = None
     words = texts.select("td", plain_words(F.col("text")).alias("words"))
     for k in sizes:
         ours = words.select("td", F.size("words").alias("n_words"), F.posexplode(shingles(F.col("words"), k)).alias("pos", "h"))
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n_words") - F.col("n")))
-        one = ours.join(few(wanted.where(F.col("k") == k).drop("k")), "h").select("td", F.lit(k).alias("k"), "n", start.alias("start")).distinct()
+        one = ours.join(few(wanted.where(F.col("k") == k).drop("k")), "h").select("td", F.lit(k).alias("k"), "n", "n_words", "pos").distinct()
         hit = one if hit is None else hit.unionByName(one)
     if hit is None:
         return texts.select("td", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0).alias("distance"), F.lit(0.0).alias("similarity")).where("false")
-    hit = materialize(hit, "windows")
+    places = hit.groupBy("td", "k", "n", "n_words").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    hit = materialize(places.select("td", "k", "n", F.explode(_starts(least)).alias("start")), "windows")
     # Of a text that has a hit, one copy; the partial aggregate takes most copies before the shuffle.
     found = texts.join(hit.select("td").distinct(), "td", "left_semi").groupBy("td").agg(F.first("text").alias("text"))
     cut = None

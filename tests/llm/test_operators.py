@@ -255,6 +255,24 @@ def test_leaks_match_brute_force(spark, docs, odd, empty):
     assert decontaminate.contaminated(empty, own).count() == 0 and decontaminate.contaminated(small, own.where("false")).count() == 0
 
 
+def test_leaks_with_moved_parts(spark):
+    """Shared shingles at other places than the item's: swapped parts, and cut ends with an insertion."""
+    rng = np.random.default_rng(3)
+    a, b = [f"v{i}" for i in range(60)], [f"u{i}" for i in range(200)]
+    pad = [f"p{i}" for i in range(90)]
+    turned = [*a[50:], *a[:50]]
+    cut = [*b[8:100], "in", "between", *b[100:192]]
+    some = [[*pad[:40], *turned, *pad[40:]], turned, [*pad, *cut, *pad], [*cut, *pad], [*a[20:], *a[:20]], [*pad, *a[:30], *a[:30]], [*turned[:57]], a * 3]
+    for _ in range(40):
+        w, i, j = list(a), *sorted(rng.integers(0, 60, 2).tolist())
+        w = [*w[j:], *w[i:j], *w[:i]] if rng.random() < 0.5 else [*w[:i], *[f"x{k}" for k in range(j % 4)], *w[i + j % 3 :]]
+        some.append([*pad[:i], *w, *pad[:j]])
+    rows, items = [(i, " ".join(w)) for i, w in enumerate(some)], [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(reversed(a)))]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == brute_leaks(rows, items)
+    assert {(0, 1), (1, 1), (2, 2), (3, 2)} <= {(r["doc_id"], r["item_id"]) for r in got}
+
+
 def test_urls(spark):
     rows = [
         (1, "https://Shop.NET/x?y#z", None),
