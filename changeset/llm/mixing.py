@@ -14,9 +14,8 @@ POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 BUDGET = 0.5
 #: Up to so many cells (source x language x topic) the fit runs on the driver; beyond, on DataFrames.
 DRIVER_CELLS = 100_000
+#: Either fit ends after so many rounds, or with the first whose marginals were all so close to their targets.
 ROUNDS, CLOSE = 60, 1e-9
-#: The fit on DataFrames writes a table each round.
-FAR_ROUNDS = 12
 
 
 def topic_of(text: Column) -> Column:
@@ -66,10 +65,13 @@ def _given(names: list, shares: np.ndarray, wanted: dict | None, power: float) -
 
 
 def _fit_far(cells: DataFrame, dims: list[str], targets: dict[str, dict] | None, budget: float) -> DataFrame:
-    """The same fit where the cells are too many for the driver: a partially aggregated marginal and a join for each dimension and round."""
+    """The same fit, with the same rounds and tolerance, where the cells are too many for the driver.
+
+    A cell's weight is its share of tokens times one factor for each of its values, so a round writes
+    only the factors: for each dimension, joins and a partially aggregated marginal.
+    """
     total = cells.agg(F.sum("n_tokens")).first()[0]
-    now = cells.withColumn("w", F.col("n_tokens") / F.lit(float(total)))
-    goals = {}
+    goals, factors = {}, {}
     for d in dims:
         share = cells.groupBy(d).agg((F.sum("n_tokens") / F.lit(float(total))).alias("share"))
         if targets and d in targets:
@@ -79,11 +81,24 @@ def _fit_far(cells: DataFrame, dims: list[str], targets: dict[str, dict] | None,
             share = share.withColumn("goal", F.pow("share", F.lit(POWERS.get(d, 1.0))))
         s = share.agg(F.sum("goal")).first()[0]
         goals[d] = materialize(share.select(d, (F.col("goal") / F.lit(s)).alias("goal")), "goals")
-    for _ in range(FAR_ROUNDS):
+        factors[d] = goals[d].select(d, F.lit(1.0).alias(f"_{d}"))
+
+    def weighed() -> DataFrame:
+        now, w = cells, F.col("n_tokens") / F.lit(float(total))
         for d in dims:
-            factor = now.groupBy(d).agg(F.sum("w").alias("have")).join(goals[d], d).select(d, F.expr("if(have > 0, goal / have, 0)").alias("factor"))
-            now = now.join(factor, d).withColumn("w", F.col("w") * F.col("factor")).drop("factor")
-        now = materialize(now, "cells")
+            now, w = now.join(factors[d], d), w * F.col(f"_{d}")
+        return now.select(*dims, "n_tokens", w.alias("w"))
+
+    for _ in range(ROUNDS):
+        off = 0.0
+        for d in dims:
+            have = weighed().groupBy(d).agg(F.sum("w").alias("have")).join(goals[d], d).join(factors[d], d)
+            have = materialize(have.select(d, F.abs(F.col("have") - F.col("goal")).alias("off"), (F.col(f"_{d}") * F.expr("if(have > 0, goal / have, 0)")).alias(f"_{d}")), "factors")
+            off = max(off, have.agg(F.max("off")).first()[0])
+            factors[d] = have.drop("off")
+        if off < CLOSE:
+            break
+    now = materialize(weighed(), "cells")
     now = now.withColumn("ratio", F.col("w") * F.lit(float(total)) / F.col("n_tokens"))
     low, high = 0.0, 1.0
     taken = lambda s: now.agg(F.sum(F.col("n_tokens") * F.least(F.lit(1.0), F.lit(s) * F.col("ratio")))).first()[0] / total

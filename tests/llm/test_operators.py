@@ -215,6 +215,22 @@ def test_mix_meets_targets(docs, odd, empty, spark):
     assert p[1]["p"] == 0 and not p[1]["sampled"]
 
 
+def test_mix_far_fit_converges(spark):
+    """Many mostly one-language sources: twelve rounds are far from enough, and both paths end alike."""
+    cells = [(i, i % 4, 40 + i * i * 7 % 160 + 400 * (i % 4 == 0)) for i in range(24)] + [(i, (i + 1) % 4, 20 + i % 5) for i in range(0, 24, 2)]
+    df = spark.createDataFrame([(n, "w " * c, f"l{b}", f"s{a}") for n, (a, b, c) in enumerate(cells)], "doc_id long, text string, lang string, source string")
+    near, far = (np.array([r["p"] for r in mixing.mix(df, topic=F.lit("x"), driver_cells=k).orderBy("doc_id").collect()]) for k in (100, 1))
+    assert np.allclose(far, near, rtol=0, atol=1e-6)
+    tokens, codes = np.array([float(c[2]) for c in cells]), [np.array([c[k] for c in cells]) for k in (0, 1)]
+    goals = [mixing.targets_of(np.bincount(c, tokens) / tokens.sum(), mixing.POWERS[d]) for c, d in zip(codes, ("source", "lang"), strict=True)]
+    ends = []
+    for rounds in (12, mixing.ROUNDS):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(mixing, "ROUNDS", rounds)
+            ends.append(mixing.rake(tokens, codes, goals))
+    assert np.abs(ends[0] / ends[1] - 1).max() > 0.02
+
+
 def plain(t):
     return [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
 
