@@ -185,12 +185,45 @@ def read_json(text: Column, dtype: T.DataType) -> Column:
     return F.trim(F.translate(text, '"', "")).try_cast(dtype)
 
 
+def whole_row(op: Callable[[str], Column]) -> Column:
+    """Whether an op inserts, replaces or deletes its entity's row: a plain write at the root, with an object for a value."""
+    plain = ~F.coalesce(op("strict"), F.lit(False)) & (F.coalesce(op("if_cond"), op("unless_cond")).isNull())
+    return op("path").isin("/", "") & plain & ((op("kind") == "remove") | (op("kind").isin("add", "replace") & F.coalesce(op("new").startswith("{"), F.lit(False))))
+
+
+def _readable(dtype: T.DataType) -> bool:
+    """Whether from_json reads it: no map has keys other than text."""
+    if isinstance(dtype, T.MapType):
+        return isinstance(dtype.keyType, T.StringType) and _readable(dtype.valueType)
+    if isinstance(dtype, T.ArrayType):
+        return _readable(dtype.elementType)
+    return not isinstance(dtype, T.StructType) or all(_readable(f.dataType) for f in dtype)
+
+
+def _row_field(row: Column, f: T.StructField, old: Column) -> Column:
+    """A field after a whole-row op (kind, new): the row text's value, null once deleted; read-only and ignored fields of rows that were there stay."""
+    if not _readable(f.dataType):
+        value = F.raise_error(F.lit(f"/{f.name}: maps with keys other than text can't be read from a row's text")).cast(f.dataType)
+    else:
+        value = F.from_json(row["new"], T.StructType([T.StructField(f.name, f.dataType)]))[f.name]
+    value = F.when(row["kind"] != "remove", value)
+    return F.when(F.col("_had"), old).otherwise(value) if tagged(f, READONLY) or tagged(f, IGNORE) else value
+
+
+def _with_rows(df: DataFrame, own: DataFrame, key: list[str]) -> DataFrame:
+    """df joined with its entities' ops: rows that the last whole-row op (_row) deletes go, those that it inserts come."""
+    done = df.withColumn("_had", F.lit(True)).join(own, key, "full_outer").withColumn("_had", F.coalesce("_had", F.lit(False)))
+    return done.where(F.when(F.col("_row").isNull(), F.col("_had")).otherwise(F.col("_row.kind") != "remove"))
+
+
 def apply_writes(df: DataFrame, ops: DataFrame, key: list[str], schema: T.StructType | None = None) -> DataFrame:
-    """Patch tables of plain writes: add, replace and remove at top-level scalar fields, not strict, without conditions.
+    """Patch tables of plain writes: add, replace and remove of rows and at top-level scalar fields, not strict, without conditions.
 
     The last write of each path counts, so entities' operations needn't be gathered: a partially
     aggregated maximum for each field and one join, whatever the number of operations of an entity.
     Adds status and errors; operations of other kinds or at other paths are errors, a message for each.
+    An add or replace at / inserts the entity's row or replaces it, a remove deletes it; later writes
+    don't bring a deleted row back. Field operations of entities without a row have nowhere to show.
     """
     schema = schema or df.schema
     scalar = [f for f in schema if f.name not in key and not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
@@ -200,13 +233,17 @@ def apply_writes(df: DataFrame, ops: DataFrame, key: list[str], schema: T.Struct
     writes = F.col("kind").isin("add", "replace", "remove") & ~F.coalesce("strict", F.lit(False)) & F.col("if_cond").isNull() & F.col("unless_cond").isNull()
     at = lambda fields: path.isin(*[f"/{f.name}" for f in fields]) if fields else F.lit(False)
     fixed, hidden = [f for f in scalar if tagged(f, READONLY)], [f for f in scalar if tagged(f, IGNORE)]
-    error = F.when(at(hidden), F.lit(None)).when(at(fixed), F.concat(path, F.lit(": field is read-only"))).when(~at(scalar), F.concat(path, F.lit(": no such field"))).when(~writes, F.concat(path, F.lit(": not a plain write")))
+    whole = whole_row(F.col)
+    error = F.when(at(hidden) | whole, F.lit(None)).when(at(fixed), F.concat(path, F.lit(": field is read-only"))).when(~at(scalar), F.concat(path, F.lit(": no such field"))).when(~writes, F.concat(path, F.lit(": not a plain write")))
     last = lambda f: F.max(F.when(writes & (path == f"/{f.name}"), F.struct("seq", F.when(~gone, F.col("new")).alias("new"))))
-    own = plain.groupBy(*key).agg(*[last(f).alias(f"_{f.name}") for f in open_], F.array_sort(F.collect_set(error)).alias("_errors"))
-    done = df.join(own, key, "left")
-    new = {f.name: F.when(F.col(f"_{f.name}").isNotNull(), read_json(F.col(f"_{f.name}")["new"], f.dataType)).otherwise(F.col(f"`{f.name}`")) for f in open_}
+    own = plain.groupBy(*key).agg(*[last(f).alias(f"_{f.name}") for f in open_], F.max(F.when(whole, F.struct("seq", "kind", "new"))).alias("_row"), F.array_sort(F.collect_set(error)).alias("_errors"))
+    done = _with_rows(df, own, key)
+    row = F.col("_row")
+    new = {f.name: F.when(row.isNotNull(), _row_field(row, f, F.col(f"`{f.name}`"))).otherwise(F.col(f"`{f.name}`")) for f in schema if f.name not in key}
+    counts = lambda f: F.col(f"_{f.name}").isNotNull() & (row.isNull() | (F.col(f"_{f.name}")["seq"] > row["seq"]))
+    new |= {f.name: F.when(counts(f), read_json(F.col(f"_{f.name}")["new"], f.dataType)).otherwise(new[f.name]) for f in open_}
     errors = F.coalesce("_errors", F.array().cast("array<string>"))
-    return done.select(*key, *[new.get(f.name, F.col(f"`{f.name}`")).alias(f.name) for f in schema if f.name not in key], F.when(F.size(errors) > 0, "error").otherwise("ok").alias("status"), errors.alias("errors"))
+    return done.select(*key, *[new[f.name].alias(f.name) for f in schema if f.name not in key], F.when(F.size(errors) > 0, "error").otherwise("ok").alias("status"), errors.alias("errors"))
 
 
 def apply_table(df: DataFrame, ops: DataFrame, key: list[str], schema: T.StructType | None = None) -> DataFrame:
@@ -215,13 +252,15 @@ def apply_table(df: DataFrame, ops: DataFrame, key: list[str], schema: T.StructT
     Operations may add, replace, remove, move, copy and log at top-level scalar fields, strictly or
     not: a fold over the entity's sorted ops, in JVM expressions. Op tables with conditions or
     nested paths go to apply_table_general, plain writes only to apply_writes. Adds status and errors; entities without ops are ok.
+    An add or replace at / inserts the entity's row or replaces it, a remove deletes it, as in apply_writes.
     """
     schema = schema or df.schema
     fields = [f for f in schema if f.name not in key]
     scalar = [f for f in fields if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
     row = F.struct(*[F.col(f"`{f.name}`").alias(f.name) for f in scalar])
     kinds = T.StructType([T.StructField(f.name, f.dataType) for f in scalar] + [T.StructField("_errors", T.ArrayType(T.StringType()))])
-    own = op_table(ops, key).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "path", "from_path", "old", "new", "strict"))).alias("_ops"))
+    whole = whole_row(F.col)
+    own = op_table(ops, key).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "path", "from_path", "old", "new", "strict", whole.alias("whole")))).alias("_ops"), F.max(F.when(whole, F.struct("seq", "kind", "new"))).alias("_row"))
 
     def fold(acc: Column, op: Column) -> Column:
         out = {f.name: acc[f.name] for f in scalar}
@@ -239,7 +278,7 @@ def apply_table(df: DataFrame, ops: DataFrame, key: list[str], schema: T.StructT
             strict_bad = strict_bad | (where(f) & ~acc[f.name].eqNullSafe(read_json(op["old"], f.dataType)))
         shifts = op["kind"].isin("move", "copy")
         error = (
-            F.when((op["kind"] == "log") | ignored, F.lit(None).cast("string"))
+            F.when((op["kind"] == "log") | ignored | op["whole"], F.lit(None).cast("string"))
             .when(read_only, F.concat(op["path"], F.lit(": field is read-only")))
             .when(~known, F.concat(op["path"], F.lit(": no such field")))
             .when(shifts & ~known_from, F.concat(F.coalesce(op["from_path"], F.lit("null")), F.lit(": no such field")))
@@ -249,13 +288,13 @@ def apply_table(df: DataFrame, ops: DataFrame, key: list[str], schema: T.StructT
         for f in scalar:
             value = F.when(op["kind"].isin("add", "replace"), read_json(op["new"], f.dataType)).when(shifts, text_of.try_cast(f.dataType))
             gone = (op["kind"] == "move") & F.coalesce(where(f, "from_path"), F.lit(False)) & ~where(f)
-            out[f.name] = F.when(good & where(f), value).when(good & gone, F.lit(None).cast(f.dataType)).otherwise(acc[f.name])
+            out[f.name] = F.when(op["whole"], _row_field(op, f, acc[f.name])).when(good & where(f), value).when(good & gone, F.lit(None).cast(f.dataType)).otherwise(acc[f.name])
         errors = F.when(error.isNotNull(), F.array_append(acc["_errors"], error)).otherwise(acc["_errors"])
         return F.struct(*[out[f.name].alias(f.name) for f in scalar], errors.alias("_errors")).cast(kinds)
 
     start = row.withField("_errors", F.array().cast("array<string>")).cast(kinds)
-    done = df.join(own, key, "left").withColumn("_new", F.when(F.col("_ops").isNotNull(), F.aggregate("_ops", start, fold)).otherwise(start))
-    cols = [F.col(f"_new.`{f.name}`").alias(f.name) if f in scalar else F.col(f"`{f.name}`") for f in schema if f.name not in key]
+    done = _with_rows(df, own, key).withColumn("_new", F.when(F.col("_ops").isNotNull(), F.aggregate("_ops", start, fold)).otherwise(start))
+    cols = [F.col(f"_new.`{f.name}`").alias(f.name) if f in scalar else F.when(F.col("_row").isNotNull(), _row_field(F.col("_row"), f, F.col(f"`{f.name}`"))).otherwise(F.col(f"`{f.name}`")).alias(f.name) for f in schema if f.name not in key]
     errors = F.col("_new._errors")
     return done.select(*key, *cols, F.when(F.size(errors) > 0, "error").otherwise("ok").alias("status"), errors.alias("errors"))
 

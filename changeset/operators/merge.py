@@ -61,7 +61,11 @@ def merge_tables(base: DataFrame, other: DataFrame, key: list[str], resolver: Re
 
 
 def three_way(base: DataFrame, mine: DataFrame, theirs: DataFrame, key: list[str], resolver: Resolver | None = None) -> DataFrame:
-    """base with both sides' changes; paths that both change take theirs or the resolver's value."""
+    """base with both sides' changes; paths that both change take theirs or the resolver's value.
+
+    Rows that a side adds come, with theirs (or the resolver's text) where both add one; rows that a side removes
+    go, whatever the other side changed in them.
+    """
     merged = merge_tables(diff(base, mine, key), diff(base, theirs, key), key, resolver)
     return apply_table(base, merged, key)
 

@@ -410,7 +410,19 @@ def patch_merge_resolver(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{duck('snap_a', 'snap_b', 'snap_c')} SELECT a.o_orderkey, CASE WHEN c.o_custkey <> a.o_custkey THEN c.o_custkey ELSE coalesce(b.o_custkey, a.o_custkey) END o_custkey,
 CASE WHEN c.o_orderstatus <> a.o_orderstatus THEN c.o_orderstatus ELSE coalesce(b.o_orderstatus, a.o_orderstatus) END o_orderstatus, CASE WHEN b.o_orderkey IS NULL THEN a.o_orderpriority ELSE b.o_orderpriority END o_orderpriority FROM snap_a a LEFT JOIN snap_b b ON a.o_orderkey = b.o_orderkey JOIN snap_c c ON a.o_orderkey = c.o_orderkey""")
 def three_way_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that one side removed as a whole stay, since a row can't be removed from within."""
+    """The changes of fields only: rows that a side adds or removes are left as in the base; three_way_all_rows has them."""
+    a, b = _snapshots(spark, d)
+    merged = merge.merge_tables(diff.diff(a, b, KEY), diff.diff(a, view(spark, d, "snap_c"), KEY), KEY)
+    return apply.apply_table(a, merged.where("path <> '/'"), KEY).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+def _merged(c: str) -> str:
+    return f"CASE WHEN a.o_orderkey IS NULL AND c.o_orderkey IS NULL OR a.o_orderkey IS NOT NULL AND c.{c} IS NOT DISTINCT FROM a.{c} THEN b.{c} ELSE c.{c} END {c}"
+
+
+@query(f"""{duck('snap_a', 'snap_b', 'snap_c')} SELECT o_orderkey, {', '.join(map(_merged, ('o_custkey', 'o_orderstatus', 'o_orderpriority')))} FROM snap_a a FULL JOIN snap_b b USING (o_orderkey) FULL JOIN snap_c c USING (o_orderkey)
+WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NOT NULL AND c.o_orderkey IS NOT NULL""")
+def three_way_all_rows(spark: SparkSession, d: str) -> DataFrame:
     a, b = _snapshots(spark, d)
     return merge.three_way(a, b, view(spark, d, "snap_c"), KEY).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
 
@@ -431,16 +443,28 @@ def patch_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{SNAPS} SELECT * FROM snap_b WHERE o_orderkey IN (SELECT o_orderkey FROM snap_a)")
 def roundtrip_apply_diff(spark: SparkSession, d: str) -> DataFrame:
-    """apply(a, diff(a, b)) is b."""
+    """apply(a, diff(a, b)) is b, here for the rows of both; roundtrip_all_rows has all."""
     a, b = _snapshots(spark, d)
-    return apply.apply_writes(a, diff.diff(a, b, KEY).where("path <> '/'"), KEY).join(b.select(*KEY), KEY, "left_semi").select(*b.columns)
+    return apply.apply_writes(a, diff.diff(a, b, KEY), KEY).join(a.select(*KEY), KEY, "left_semi").select(*b.columns)
+
+
+@query(f"{SNAPS} SELECT * FROM snap_b")
+def roundtrip_all_rows(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _snapshots(spark, d)
+    return apply.apply_writes(a, diff.diff(a, b, KEY), KEY).select(*b.columns)
 
 
 @query(f"{SNAPS} SELECT * FROM snap_a WHERE o_orderkey IN (SELECT o_orderkey FROM snap_b)")
 def undo_redo(spark: SparkSession, d: str) -> DataFrame:
-    """apply(b, reverse(diff(a, b))) is a."""
+    """apply(b, reverse(diff(a, b))) is a, here for the rows of both; undo_all_rows has all."""
+    a, b = _snapshots(spark, d)
+    return merge.undo(b, diff.diff(a, b, KEY).withColumn("version", F.lit(1)), KEY, "version").join(b.select(*KEY), KEY, "left_semi").select(*a.columns)
+
+
+@query(f"{SNAPS} SELECT * FROM snap_a")
+def undo_all_rows(spark: SparkSession, d: str) -> DataFrame:
     a, b = _snapshots(spark, d)
-    return merge.undo(b, diff.diff(a, b, KEY).withColumn("version", F.lit(1)), KEY, "version").join(a.select(*KEY), KEY, "left_semi").select(*a.columns)
+    return merge.undo(b, diff.diff(a, b, KEY).withColumn("version", F.lit(1)), KEY, "version").select(*a.columns)
 
 
 # --- wire formats
