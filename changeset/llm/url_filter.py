@@ -28,15 +28,44 @@ def node_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, rest)
 
 
+def decoded(text: Column) -> Column:
+    """HTML's &amp; and its numbered forms as the character; done once, so that &amp;amp; gives &amp;."""
+    return F.regexp_replace(text, r"(?i)&(?:amp;?|#0*38;|#x0*26;)", "&")
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """A target against the page's url, by RFC 3986: with its own scheme and host, scheme-relative, from the root, query, fragment or path-relative.
+
+    Dot segments are taken out of what is joined. Null where url has no :// or the target another scheme (mailto:, data:).
+    """
+    root, path = F.concat(F.lit("http://"), host_of(url)), path_of(url)
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    tail = F.substring(target, F.length(own) + 1, F.length(target))
+    parts = F.split(F.when(own.startswith("/"), own).otherwise(F.concat(folder, own)), "/")
+    up = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.array_append(done, x))
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("")), up)
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    joined = F.concat(root, F.array_join(kept, "/"), tail)
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | (F.instr(url, "://") == 0), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.startswith("?"), F.concat(root, path, target))
+        .when(target.startswith("#"), F.concat(root, path, query))
+        .otherwise(joined)
+    )
+
+
 def links_of(html: Column, url: Column) -> Column:
-    """Absolute targets of a page's canonical links and immediate refreshes; relative ones are resolved against the page's host."""
+    """Absolute targets of a page's canonical links and immediate refreshes: &amp; decoded, relative ones resolved against the page's url."""
     text = F.coalesce(html, F.lit(""))
     found = F.concat(
         F.regexp_extract_all(text, F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""), 1),
         F.regexp_extract_all(text, F.lit(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""), 1),
     )
-    at_root = F.concat(F.lit("http://"), host_of(url))
-    return F.transform(found, lambda x: F.when(F.instr(x, "://") > 0, x).when(x.startswith("//"), F.concat(F.lit("http:"), x)).when(x.startswith("/"), F.concat(at_root, x)))
+    return F.transform(found, lambda x: resolved(decoded(x), url))
 
 
 def _rule_of(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:

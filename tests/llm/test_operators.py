@@ -317,6 +317,28 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.where("false"), queries.URL_RULES).count() == 0
 
 
+def test_urls_by_relative_links(spark):
+    """Targets of each form against the standard library, and pages that inherit a block through them."""
+    from urllib.parse import urljoin
+
+    bases = ["http://h.org/a/b/c.html?q=1", "http://h.org", "http://h.org/", "http://h.org/a/b/", "http://h.org?q=2"]
+    targets = ["page.html", "./x", "../x", "../../../x", "?id=1", "/y/../z", "//o.org/p", "https://o.org/q", "d/e/./f?x=/../y", "..", ".", "#top", "/", "x/..", "?u=http://o.org/"]
+    rows = [(b, x) for b in bases for x in targets]
+    got = spark.createDataFrame(rows, "url string, x string").select("url", "x", url_filter.node_of(url_filter.resolved(F.col("x"), F.col("url"))).alias("got")).collect()
+    want = spark.createDataFrame([(b, x, urljoin(b, x)) for b, x in rows], "url string, x string, w string").select("url", "x", url_filter.node_of(F.col("w")).alias("want")).collect()
+    assert {(r["url"], r["x"]): r["got"] for r in got} == {(r["url"], r["x"]): r["want"] for r in want}
+
+    link = lambda x: f'<link rel="canonical" href="{x}">'
+    forms = ["blocked.html", "./blocked.html", "../d/blocked.html", "/d/blocked.html", "blocked.html?a=1&amp;b=2", "blocked.html?a=1&#38;b=2", "mailto:x@h.org"]
+    pages = [(0, "http://h.org/d/blocked.html", ""), (1, "http://h.org/d/blocked.html?a=1&b=2", "")] + [(k, f"http://h.org/d/p{k}", link(x)) for k, x in enumerate(forms, 2)]
+    pages.append((20, "http://h.org/d/blocked.html?v=1", '<meta http-equiv="refresh" content="0; url=?v=2">'))
+    pages.append((21, "http://h.org/d/blocked.html?v=2", ""))
+    rules = [("block", "h.org", "/d/blocked.html")]
+    verdict = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert {k: v[1] for k, v in verdict.items()} == {k: "allow" if k == 8 else "block" for k in verdict}
+    assert all(verdict[k][0] is None for k in range(2, 9))
+
+
 def test_word_hashes(monkeypatch):
     monkeypatch.setattr(common, "SEGMENT", 7)
     texts = [b"", b" a  bb\tccc\x0b", "ünï a".encode(), b"x" * 40, b"\n", b"bb a"]
