@@ -146,7 +146,7 @@ def _crowd_links(crowded: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_map(pairs, run, "a binary, b binary")
 
 
-def classes(docs: DataFrame, size: int = 4) -> DataFrame:
+def classes(docs: DataFrame, size: int = 4, texts: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document.
 
     docs: doc_id, text. Documents with one shingle set are one class, represented once, so copies are
@@ -155,7 +155,8 @@ def classes(docs: DataFrame, size: int = 4) -> DataFrame:
     their list's centre; what then still lies in different components of one list is paired. Pairs are
     estimated by union sketches, and all links are confirmed on full sets. Null and empty texts have no
     shingles and are linked with nothing, each its own component. A null doc_id has its group's
-    smallest id, or none; repeated rows are alike. Empty table: no rows.
+    smallest id, or none; repeated rows are alike. Empty table: no rows. texts: adds td (the text's
+    digest) and root (which names the group), for tables that repeat an id with other texts.
     """
     sig = materialize(signatures(docs, size), "sketches")
     nodes = sig.where("n > 0").groupBy("sd").agg(F.min("td").alias("td"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -183,8 +184,10 @@ def classes(docs: DataFrame, size: int = 4) -> DataFrame:
         pairs = materialize(_estimated(pairs.select("a", "b").distinct(), nodes), "pairs")
         links = materialize(links.unionByName(_verified(pairs, sets)), "links")
         comps = connected_components(links)
-    grouped = sig.where("n > 0").select("doc_id", "n", "sd")
-    rooted = grouped.withColumn("root", F.col("sd")) if comps is None else grouped.join(comps, grouped["sd"] == comps["node"], "left").select("doc_id", "n", F.coalesce("root", "sd").alias("root"))
+    more = ["td", "root"] if texts else []
+    grouped = sig.where("n > 0").select("doc_id", "td", "n", "sd")
+    rooted = grouped.withColumn("root", F.col("sd")) if comps is None else grouped.join(comps, grouped["sd"] == comps["node"], "left").select("doc_id", "td", "n", F.coalesce("root", "sd").alias("root"))
     first = materialize(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
-    out = rooted.join(first, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(sig.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    alone = sig.where("n = 0").withColumn("root", F.col("td")).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *more)
+    out = rooted.join(first, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more).unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

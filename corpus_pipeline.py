@@ -23,10 +23,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates. Documents without words are each their own group;
-    of rows that share the kept id one stays, and rows without an id stay, as no group can name them."""
-    kept = near_dedup.classes(docs).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    of its rows with the kept id one stays, and rows without an id stay, as no group can name them.
+    Rows are told apart by id and text, so each group keeps one where an id is repeated with other texts."""
+    kept = near_dedup.classes(docs, texts=True).where("kept").groupBy("doc_id", "root").agg(F.min("td").alias("td")).select("doc_id", "td")
+    named = docs.where("doc_id is not null").withColumn("td", digest(F.col("text"))).join(kept, ["doc_id", "td"]).dropDuplicates(["doc_id", "td"])
+    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,15 @@ def test_stages_match_brute_force(spark, which):
         assert all(r["n_chars"] == len(r["text"]) for r in step.collect())
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    """One row of each group of texts stays, also where an id stands for texts of several groups."""
+    text = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    named = [(5, text("a")), (5, text("b")), (3, text("b")), (7, text("c")), (7, text("d")), (7, text("d")), (7, text("d") + " end"), (8, ""), (8, " ")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in named], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted((d, t.split(" ")[0]) for d, t in rows(P.near_duplicates(spark, docs, SF)))
+    assert left == [(3, "b0"), (5, "a0"), (7, "c0"), (7, "d0"), (8, ""), (8, "")]
+
+
 def test_run(spark):
     got = P.run(spark, SF)
     assert got.count() > 20 and {"doc_id", "p"} <= set(got.columns)
