@@ -49,6 +49,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialize() wrote and nothing reads any more."""
+    for table in tables:
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def partitions(spark: SparkSession) -> int:
+    """Partitions that a shuffle makes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def checked_keep(keep: list[str] | None, made: list[str]) -> list[str]:
+    """The columns to hand on; one that is also a column of the result has no place there."""
+    if both := sorted(set(keep or []) & set(made)):
+        raise ValueError(f"columns of the result can't be handed on: {both}")
+    return list(keep or [])
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """mapInArrow with batches of at most BATCH_ROWS rows and about BATCH_BYTES."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -118,6 +138,12 @@ class Words:
         """Words i to j (over all texts), joined by one blank."""
         return b" ".join(self.data[self.starts[i] : self.ends[j - 1]].split())
 
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words joined by one blank, and where each begins there, with one place past the last."""
+        at = np.zeros(len(self.starts) + 1, np.int64)
+        np.cumsum(self.ends - self.starts + 1, out=at[1:])
+        return b" ".join(self.data.split()), at
+
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse mod 2**64, at least n of each."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,19 +11,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_map, chunks, digest, gram_hashes, materialize
+from .common import Words, arrow_map, checked_keep, chunks, digest, gram_hashes, materialize, partitions, release
 
 #: Words of a window and of a minimiser.
 WINDOW, GRAM = 35, 8
-#: A minimiser that starts more super-k-mers than this deals its windows one by one, by their own digests.
-HOT = 2000
+#: Most different strings that meet in one bucket. Those of a minimiser that has more are cut again by longer minimisers.
+BUCKET = 2000
+
+SPANS = "array<struct<first:int,count:int>>"
+
+
+def lengths_of(window: int, gram: int) -> list[int]:
+    """Words of the minimisers, cut by cut. The last are whole windows, so that all strings of one are equal."""
+    return sorted({gram, window - (window - gram) // 3, window})
 
 
 def _least_places(g: np.ndarray, w: int) -> np.ndarray:
     """For each start, the place of the (leftmost) least of w consecutive entries; by doubling."""
-    place = np.arange(len(g))
+    best = np.arange(len(g))
     span = 1
-    best = place
     while span < w:
         step = min(span, w - span)
         a, b = best[: len(best) - step], best[step:]
@@ -35,16 +42,13 @@ def super_kmers(h: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[
     """doc, start (word of the document), windows, minimiser of each run of consecutive windows whose least
     gram is the same one. h: hashes of the words of all documents; at: their offsets."""
     none = np.empty(0, np.int64)
-    if len(h) < window:
-        return none, none, none, np.empty(0, np.int64)
+    counts = np.maximum(np.diff(at) - window + 1, 0)
+    if not counts.sum():
+        return none, none, none, none
     g = gram_hashes(h, gram)
     least = _least_places(g, window - gram + 1)  # of a window by its start
-    lengths = np.diff(at)
-    doc_of = np.repeat(np.arange(len(lengths)), np.maximum(lengths - window + 1, 0))
-    if not len(doc_of):
-        return none, none, none, np.empty(0, np.int64)
-    firsts = np.cumsum(np.concatenate([[0], np.maximum(lengths - window + 1, 0)]))[:-1]
-    start = np.arange(len(doc_of)) - firsts[doc_of]  # within the document
+    doc_of = np.repeat(np.arange(len(counts)), counts)
+    start = np.arange(len(doc_of)) - np.repeat(np.cumsum(counts) - counts, counts)  # within the document
     place = least[at[:-1][doc_of] + start]
     new = np.ones(len(doc_of), bool)
     new[1:] = (place[1:] != place[:-1]) | (doc_of[1:] != doc_of[:-1])
@@ -52,136 +56,141 @@ def super_kmers(h: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[
     return doc_of[begins], start[begins], np.diff(np.append(begins, len(doc_of))), g[place[begins]].view(np.int64)
 
 
-def covered_words(n: int, starts: list[int], window: int) -> np.ndarray:
-    """Which of n words lie in a window that starts at one of starts."""
+def covered_words(n: int, spans: list[tuple[int, int]], window: int) -> np.ndarray:
+    """Which of n words lie in a window of the spans (first start, number of starts)."""
     edge = np.zeros(n + 1, np.int64)
-    s = np.asarray(starts, np.int64)
-    np.add.at(edge, s, 1)
-    np.add.at(edge, np.minimum(s + window, n), -1)
+    first, count = np.array(spans, np.int64).reshape(-1, 2).T
+    np.add.at(edge, first, 1)
+    np.add.at(edge, np.minimum(first + count - 1 + window, n), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeated_windows(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """td, starts: of each distinct text, the words at which windows start that also start anywhere else.
+def _runs(starts: list[int]) -> list[tuple[int, int]]:
+    """Ascending starts as (first, number of consecutive ones)."""
+    s = np.asarray(starts)
+    begins = np.flatnonzero(np.diff(s, prepend=s[0] - 2) != 1)
+    return list(zip(s[begins].tolist(), np.diff(np.append(begins, len(s))).tolist(), strict=True))
 
-    texts: td, text, copies: distinct texts and how often each occurs; in a text that occurs again all windows
-    do, and it has no row here for that. A text's windows are cut into super-k-mers; those whose minimiser starts no second one
-    can't repeat and stay. The others travel as one packed string to the minimiser's bucket, where the
-    windows are sorted and equal neighbours found. Windows of a minimiser with over `hot` super-k-mers
-    are dealt by digest instead, counted by a partial aggregate, and joined back.
-    """
 
-    def cut(docs: list[bytes]) -> tuple[Words, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        words = Words(docs)
-        return words, super_kmers(words.hashes, words.offsets, window, gram)
+def repeated_windows(pieces: DataFrame, window: int = WINDOW, lengths: list[int] | None = None, bucket: int = BUCKET) -> DataFrame:
+    """id, spans: of each piece, the words at which windows start that also start anywhere else, as (first, count).
 
-    def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, docs in chunks(batches):
-            _, (doc, start, _, least) = cut(docs)
-            yield pa.RecordBatch.from_arrays([pa.array(least), batch.column("td").take(pa.array(doc)), pa.array(start.astype(np.int32))], ["least", "td", "start"])
+    pieces: id, text; all different texts. Their windows are cut into super-k-mers, each a packed string with
+    its digest. A minimiser that starts one super-k-mer only is done: no window of it repeats. Strings that
+    stand at several places repeat with all their windows, and one of them is enough for comparing them with
+    others, so however often a passage occurs, one string of it travels. Where a minimiser has several different
+    strings, they go to its bucket, whose windows are sorted and equal neighbours found. A minimiser with more
+    than `bucket` different strings has them cut again, in the same way, by longer minimisers: what
+    surrounds a frequent passage then mostly falls to minimisers of its own.
+    """
+    gram, *longer = lengths_of(window, GRAM) if lengths is None else lengths
 
-    def chosen(batch: pa.RecordBatch, column: str, doc: np.ndarray, start: np.ndarray) -> list[int]:
-        """The super-k-mers whose starts the column lists for their text."""
-        wanted = [set(x or ()) for x in batch.column(column).to_pylist()]
-        return [k for k, (d, s) in enumerate(zip(doc.tolist(), start.tolist(), strict=True)) if s in wanted[d]]
+    def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches):
+            words = Words(texts)
+            doc, start, count, least = super_kmers(words.hashes, words.offsets, window, gram)
+            joined, at = words.joined()
+            first = words.offsets[doc] + start
+            digests = [xxhash.xxh3_128_digest(joined[a:b]) for a, b in zip(at[first].tolist(), (at[first + count + window - 1] - 1).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(least), batch.column("id").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(digests, pa.binary())], ["least", "id", "first", "count", "sd"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, docs in chunks(batches):
-            words, (doc, start, count, least) = cut(docs)
-            use = chosen(batch, "cold", doc, start)
-            first = (words.offsets[doc] + start).tolist()
-            strings = [words.text(first[k], first[k] + int(count[k]) + window - 1) for k in use]
-            yield pa.RecordBatch.from_arrays([pa.array(least[use]), batch.column("td").take(pa.array(doc[use])), pa.array(start[use].astype(np.int32)), pa.array(strings, pa.binary())], ["least", "td", "start", "packed"])
-
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each distinct window of a text, with all its starts there."""
-        for batch, docs in chunks(batches):
-            words, (doc, start, count, _) = cut(docs)
-            places: dict[tuple[int, bytes], list[int]] = {}
-            for k in chosen(batch, "warm", doc, start):
-                first = int(words.offsets[doc[k]])
-                for s in range(int(start[k]), int(start[k] + count[k])):
-                    places.setdefault((int(doc[k]), xxhash.xxh3_128_digest(words.text(first + s, first + s + window))), []).append(s)
-            yield pa.RecordBatch.from_arrays([pa.array([w for _, w in places], pa.binary()), batch.column("td").take(pa.array([d for d, _ in places], pa.int64())), pa.array(list(places.values()), pa.list_(pa.int32()))], ["window", "td", "starts"])
+        for batch, texts in chunks(batches):
+            words = Words(texts)
+            joined, at = words.joined()
+            rows = []
+            for offset, wanted in zip(words.offsets.tolist(), batch.column("wanted").to_pylist(), strict=False):
+                for x in wanted:
+                    i = offset + x["first"]
+                    rows.append((x["least"], x["crowded"], x["sd"], joined[at[i] : at[i + x["count"] + window - 1] - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.bool_(), pa.binary(), pa.binary()))], ["least", "crowded", "id", "text"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by minimiser; a bucket has at most `hot` of them."""
-        name, bucket = None, []
+        """Rows come sorted by minimiser; a bucket has at most `bucket` of them."""
+        name, strings = None, []
 
         def done() -> pa.RecordBatch:
-            found: list[tuple[bytes, bytes, int]] = []
-            for td, start, string in bucket:
+            found: list[tuple[bytes, int, int]] = []
+            for k, (_, string) in enumerate(strings):
                 ends = [i for i, b in enumerate(string) if b == 32]
                 begins = [0, *(e + 1 for e in ends)]
                 ends.append(len(string))
-                found += [(string[begins[i] : ends[i + window - 1]], td, start + i) for i in range(len(begins) - window + 1)]
+                found += [(string[begins[i] : ends[i + window - 1]], k, i) for i in range(len(begins) - window + 1)]
             found.sort()
-            starts: dict[bytes, list[int]] = {}
-            for k, (string, td, start) in enumerate(found):
-                if k and string == found[k - 1][0] or k + 1 < len(found) and string == found[k + 1][0]:
-                    starts.setdefault(td, []).append(start)
-            return pa.RecordBatch.from_arrays([pa.array(list(starts), pa.binary()), pa.array(list(starts.values()), pa.list_(pa.int32()))], ["td", "starts"])
+            starts: dict[int, list[int]] = {}
+            for j, (text, k, i) in enumerate(found):
+                if j and text == found[j - 1][0] or j + 1 < len(found) and text == found[j + 1][0]:
+                    starts.setdefault(k, []).append(i)
+            spans = [[{"first": a, "count": b} for a, b in _runs(sorted(s))] for s in starts.values()]
+            kind = pa.list_(pa.struct([("first", pa.int32()), ("count", pa.int32())]))
+            return pa.RecordBatch.from_arrays([pa.array([strings[k][0] for k in starts], pa.binary()), pa.array(spans, kind)], ["id", "spans"])
 
         for batch in batches:
-            for least, td, start, string in zip(*(batch.column(c).to_pylist() for c in ("least", "td", "start", "packed")), strict=True):
+            for least, sd, string in zip(*(batch.column(c).to_pylist() for c in ("least", "id", "text")), strict=True):
                 if least != name:
-                    if len(bucket) > 1:
+                    if len(strings) > 1:
                         yield done()
-                    name, bucket = least, []
-                bucket.append((td, start, string))
-        if len(bucket) > 1:
+                    name, strings = least, []
+                strings.append((sd, string))
+        if len(strings) > 1:
             yield done()
 
-    where = arrow_map(texts.select("td", "text"), minimisers, "least long, td binary, start int")
-    place = F.xxhash64("td", "start")
-    again = materialize(where.groupBy("least").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("least"), "repeated")
+    where = materialize(arrow_map(pieces.select("id", "text"), minimisers, "least long, id binary, first int, count int, sd binary"), "minimisers")
+    again = materialize(where.groupBy("least").agg(F.count("*").alias("c")).where("c > 1").select("least"), "repeated")
     shared = materialize(where.join(again, "least"), "minimisers")
-    crowd = materialize(shared.groupBy("least").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("least", F.lit(True).alias("hot")), "crowd")
-    sides = shared.join(crowd, "least", "left").groupBy("td").agg(F.collect_list(F.when(F.col("hot").isNull(), F.col("start"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("start"))).alias("warm"))
-    held = texts.select("td", "text").join(sides, "td")
-    strings = arrow_map(held.where("size(cold) > 0").select("td", "text", "cold"), packed, "least long, td binary, start int, packed binary")
-    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    cold = arrow_map(strings.repartition(parts, "least").sortWithinPartitions("least"), counted, "td binary, starts array<int>")
-    warm = arrow_map(held.where("size(warm) > 0").select("td", "text", "warm"), single, "window binary, td binary, starts array<int>")
-    # Texts of one scan task travel as one row of a window, so one that a third of all texts has is joined once for each
-    # task; their rows then go back to be dealt by task, not by window.
-    warm = warm.withColumn("task", F.spark_partition_id()).groupBy("window", "task").agg(F.collect_list(F.struct("td", "starts")).alias("places"), F.sum(F.size("starts")).alias("c"))
-    many = warm.groupBy("window").agg(F.sum("c").alias("c")).where("c > 1").select("window")
-    twice = warm.join(many, "window").select("task", "places").repartition(parts, "task").select(F.explode("places").alias("x")).select("x.td", "x.starts")
-    # A text has as many windows as words at most, so its starts are a bounded list.
-    return cold.unionByName(twice).groupBy("td").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-
-
-def dedup_substrings(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, text: bool = True) -> DataFrame:
+    release(where, again)
+    # One row for each different string, with one of its places; counted before the shuffle.
+    kinds = materialize(shared.groupBy("least", "sd").agg(F.count("*").alias("c"), F.min("id").alias("id"), F.min_by("first", F.struct("id", "first")).alias("first"), F.first("count").alias("count")), "kinds")
+    mixed = materialize(kinds.groupBy("least").agg(F.count("*").alias("kinds")).where("kinds > 1").select("least", (F.col("kinds") > bucket).alias("crowded")), "mixed")
+    wanted = kinds.join(mixed, "least").groupBy("id").agg(F.collect_list(F.struct("first", "count", "least", "crowded", "sd")).alias("wanted"))
+    strings = materialize(arrow_map(pieces.select("id", "text").join(wanted, "id"), packed, "least long, crowded boolean, id binary, text binary"), "strings")
+    some = arrow_map(strings.where("not crowded").select("least", "id", "text").repartition(partitions(pieces.sparkSession), "least").sortWithinPartitions("least"), counted, f"id binary, spans {SPANS}")
+    crowd = strings.where("crowded").select("id", "text")
+    if longer and not crowd.isEmpty():
+        some = some.unionByName(repeated_windows(crowd, window, longer, bucket))
+    some = materialize(some, "spans")
+    release(strings, mixed)
+    # A string of one place has the windows found, at that place; one of several has all its windows, at each.
+    once = kinds.where("c = 1").select("sd", F.col("id").alias("piece"), F.col("first").alias("at")).join(some, F.col("sd") == some["id"])
+    once = once.select(F.col("piece").alias("id"), F.transform("spans", lambda x: F.struct((x["first"] + F.col("at")).alias("first"), x["count"].alias("count"))).alias("spans"))
+    often = shared.join(kinds.where("c > 1").select("sd"), "sd").select("id", F.array(F.struct("first", "count")).alias("spans"))
+    # A piece has fewer super-k-mers than words, so its spans are a bounded list.
+    return once.unionByName(often).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def dedup_substrings(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW, gram: int = GRAM, bucket: int = BUCKET, text: bool = True) -> DataFrame:
     """Removes each word that a window covers whose words also start anywhere else, the same document included.
 
     docs: doc_id, text and the columns of keep, which are handed on. Windows are judged on the input.
     Returns doc_id, *keep, n_words, n_removed, kept_sha256 (of the kept words joined by one blank) and, with
     text, text_left: the text itself if nothing is removed, else the kept words joined by one blank.
     Null and empty texts have no words; texts of under `window` words keep all; all copies of a
-    longer text that occurs again lose all its words. Repeated rows count as other documents. Empty table: no rows.
+    longer text that occurs again lose all its words. Very long texts are judged whole. A null doc_id is handed on;
+    repeated rows count as other documents. Other columns of docs play no part, whatever their names; a name in keep that is also
+    one of the result's is an error. Empty table: no rows.
     """
-    own = docs.select("doc_id", *(keep or []), digest(F.col("text")).alias("td"))
-    texts = docs.select(digest(F.col("text")).alias("td"), F.coalesce("text", F.lit("")).alias("text")).groupBy("td").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    marks = repeated_windows(texts, window, gram, hot)
+    keep = checked_keep(keep, ["doc_id", "n_words", "n_removed", "kept_sha256", "text_left"])
+    own = docs.select(F.struct("doc_id", *keep).alias("row"), digest(F.col("text")).alias("td"))
+    texts = docs.select(digest(F.col("text")).alias("id"), F.coalesce("text", F.lit("")).alias("text")).groupBy("id").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    marks = repeated_windows(texts, window, lengths_of(window, gram), bucket)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch, docs_ in chunks(batches):
             rows = []
-            for data, copies, starts in zip(docs_, batch.column("copies").to_pylist(), batch.column("starts").to_pylist(), strict=True):
+            for data, copies, spans in zip(docs_, batch.column("copies").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 words = data.split()
                 n = len(words)
                 left = words
                 if n >= window and copies > 1:
                     left = []
-                elif starts:
-                    left = [w for w, c in zip(words, covered_words(n, starts, window).tolist(), strict=True) if not c]
+                elif spans:
+                    left = [w for w, c in zip(words, covered_words(n, [(x["first"], x["count"]) for x in spans], window).tolist(), strict=True) if not c]
                 joined = b" ".join(left)
                 rows.append((n, n - len(left), hashlib.sha256(joined).hexdigest(), (data if len(left) == n else joined) if text else b""))
-            yield pa.RecordBatch.from_arrays([batch.column("td"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.binary()).cast(pa.string())], ["td", "n_words", "n_removed", "kept_sha256", "text_left"])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
+            made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *made[:3], made[3].cast(pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "text_left"])
 
-    done = arrow_map(texts.join(marks, "td", "left").select("td", "text", "copies", "starts"), cut, "td binary, n_words long, n_removed long, kept_sha256 string, text_left string")
-    out = own.join(done, "td").drop("td")
-    return out if text else out.drop("text_left")
+    done = arrow_map(texts.join(marks, "id", "left").select("id", "text", "copies", "spans"), cut, "id binary, n_words long, n_removed long, kept_sha256 string, text_left string")
+    out = own.join(done, F.col("td") == F.col("id"))
+    return out.select("row.*", "n_words", "n_removed", "kept_sha256", *(["text_left"] if text else []))

@@ -114,14 +114,40 @@ def brute_substrings(rows, k=35):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("which,hot", [("docs", 2000), ("docs", 1), ("odd", 2000), ("odd", 1)])
-def test_substrings_match_brute_force(which, hot, request):
+@pytest.mark.parametrize("which,bucket", [("docs", 2000), ("docs", 1), ("odd", 2000), ("odd", 1)])
+def test_substrings_match_brute_force(which, bucket, request):
     df = request.getfixturevalue(which)
     rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
-    got = sorted((tuple(r) for r in substring_dedup.dedup_substrings(df, hot=hot, text=False).collect()), key=str)
+    got = sorted((tuple(r) for r in substring_dedup.dedup_substrings(df, bucket=bucket, text=False).collect()), key=str)
     assert got == brute_substrings(rows)
 
 
+def test_substrings_with_a_passage_in_a_third_of_all_texts(spark, monkeypatch):
+    """Crowded minimisers are cut again by longer ones; edited copies of the passage share parts of it."""
+    rng = np.random.default_rng(5)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for d in range(180):
+        own = [f"w{x}" for x in rng.integers(0, 4000, 70)]
+        if d % 3 == 0:
+            part = list(passage)
+            if d % 2:
+                part[int(rng.integers(0, 60))] = f"edit{d % 4}"
+            at = int(rng.integers(0, 70))
+            own = [*own[:at], *part, *own[at:]]
+        rows.append((d, " ".join(own)))
+    rows += [(500, "  ".join(passage)), (501, " ".join(passage * 3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cuts = []
+    once = substring_dedup.repeated_windows
+    monkeypatch.setattr(substring_dedup, "repeated_windows", lambda p, w, lengths, b: cuts.append(lengths[0]) or once(p, w, lengths, b))
+    for bucket in (4, 30, 2000):
+        got = sorted((tuple(r) for r in substring_dedup.dedup_substrings(df, bucket=bucket, text=False).collect()), key=str)
+        assert got == brute_substrings(rows)
+    assert cuts[:3] == [8, 26, 35] and cuts[-1] == 8
+    with pytest.raises(ValueError):
+        substring_dedup.dedup_substrings(df, keep=["n_words"])
+
+
 def test_substrings_text_left(odd):
     got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(odd, keep=["lang"]).collect()}
     assert got[11]["text_left"] == "zz yy" and got[11]["lang"] == "de"
