@@ -28,9 +28,11 @@ _POWERS = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a temporary one (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else, in one process with its executors, a temporary one."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="corpus-")
         atexit.register(shutil.rmtree, there, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", there)
@@ -70,7 +72,8 @@ def checked_keep(keep: list[str] | None, made: list[str]) -> list[str]:
 
 
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """mapInArrow with batches of at most BATCH_ROWS rows and about BATCH_BYTES."""
+    """mapInArrow with batches of at most BATCH_ROWS rows and about BATCH_BYTES: options that are read when the query runs,
+    so they stay set in the session."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)

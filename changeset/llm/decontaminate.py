@@ -11,14 +11,14 @@ from .common import digest, materialize
 
 #: Words of a shingle and least weighted similarity.
 SHINGLE, LEAST = 5, 0.8
-#: Fingerprints have 64 bits in 8 blocks of 8. Each block is looked up with all values up to 2 bits away, so by the
-#: pigeonhole principle every fingerprint within 8 * 3 - 1 = 23 bits is found. At similarity 0.8 the expected
-#: distance is 9.7 bits with a deviation of 2.9.
-BLOCKS, BLOCK_BITS, NEAR = 8, 8, 2
-RADIUS = BLOCKS * (NEAR + 1) - 1
+#: Fingerprints have 64 bits in 4 blocks of 16. An item's block is entered with all values up to 3 bits away, a window's is
+#: looked up with those up to 1 bit away, so by the pigeonhole principle every fingerprint within 4 * 5 - 1 = 19 bits is
+#: found; of unlike pairs 15 % meet and 0.1 % are within the radius. At similarity 0.8 the expected distance is 9.7 bits
+#: with a deviation of 2.9, so a window just as similar is missed with a chance of 0.0007, and less above.
+BLOCKS, BLOCK_BITS, ITEM_FLIPS, WINDOW_FLIPS = 4, 16, 3, 1
+RADIUS = BLOCKS * (ITEM_FLIPS + WINDOW_FLIPS + 1) - 1
 #: Benchmark shingles up to this number are broadcast (16 bytes each); beyond, the join shuffles.
 BROADCAST_SHINGLES = 1_000_000
-_MASKS = [sum(1 << b for b in c) for k in range(NEAR + 1) for c in combinations(range(BLOCK_BITS), k)]
 
 
 def plain_words(text: Column) -> Column:
@@ -42,8 +42,12 @@ def _fingerprints(rows: DataFrame, key: list[str]) -> DataFrame:
     return sums.select(*key, fp.alias("fp"))
 
 
-def _block(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, i * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+def _blocks(fps: DataFrame, fp: str, flips: int) -> DataFrame:
+    """fps with block and value: a row for each block of fp and each value up to so many bits from the block's."""
+    masks = [sum(1 << b for b in c) for k in range(flips + 1) for c in combinations(range(BLOCK_BITS), k)]
+    own = F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, i * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias("value")) for i in range(BLOCKS)]))
+    each = fps.select("*", own.alias("x")).select("*", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
+    return each.select(*fps.columns, F.col("x.block").alias("block"), F.col("x.value").bitwiseXOR(F.col("mask")).alias("value"))
 
 
 def _counted(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -101,11 +105,8 @@ def leaks(texts: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataF
     key = ["td", "n", "k", "start"]
     cut = materialize(cut, "windows")
     windows = _fingerprints(cut, key)
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("fp"), i).alias("value")) for i in range(BLOCKS)]))
-    ours = windows.select(*key, "fp", near.alias("x")).select(*key, "fp", "x.*")
-    theirs = _fingerprints(item_rows, ["item_id", "n", "k"]).withColumnRenamed("fp", "item_fp").select("item_id", "n", "k", "item_fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("item_fp"), i).alias("value")) for i in range(BLOCKS)])).alias("x"), )
-    theirs = theirs.select("item_id", "n", "k", "item_fp", "x.block", F.col("x.value").alias("base"), F.explode(F.array(*map(F.lit, _MASKS))).alias("mask"))
-    theirs = theirs.select("item_id", "n", "k", "item_fp", "block", F.col("base").bitwiseXOR(F.col("mask")).alias("value"))
+    ours = _blocks(windows, "fp", WINDOW_FLIPS)
+    theirs = _blocks(_fingerprints(item_rows, ["item_id", "n", "k"]).withColumnRenamed("fp", "item_fp"), "item_fp", ITEM_FLIPS)
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     pairs = ours.join(theirs, ["n", "k", "block", "value"]).where(distance <= RADIUS).select(*key, "item_id", distance.alias("distance")).distinct()
     mine, its = _counted(cut, key), _counted(item_rows, ["item_id"]).withColumnRenamed("c", "c2")
@@ -118,8 +119,8 @@ def leaks(texts: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataF
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, item_id, n_windows, start (of the first), similarity (the largest): one row for each document and item it holds.
 
-    Documents without a passage have no row. Null and empty texts hold nothing; repeated rows each
-    have theirs; empty tables give no rows.
+    Documents without a passage have no row. Null and empty texts hold nothing; very long texts are searched whole; repeated
+    rows and null ids each have theirs; other columns play no part; empty tables give no rows.
     """
     texts = docs.select("doc_id", "text", digest(F.col("text")).alias("td"))
     found = leaks(texts.select("td", "text"), benchmark, least).groupBy("td", "item_id").agg(F.count("*").alias("n_windows"), F.min("start").alias("start"), F.max("similarity").alias("similarity"))

@@ -11,12 +11,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER, arrow_map, chunks
+from .common import LETTER, arrow_map, chunks, materialize
 
 #: Bytes of a window, of the widest filter, numbers of an embedded byte, filters of each width.
 WINDOW, WIDTHS, WIDE, EMBED, FILTERS = 256, (2, 3, 4), 4, 8, 10
-#: The bounded sample: documents of each language, windows of a document, the most frequent languages, documents in all.
-DOCS_PER_LANG, WINDOWS_PER_DOC, MOST_LANGS, MOST_DOCS = 400, 3, 1000, 40_000
+#: The bounded sample of labelled rows: documents of each language, windows of a document, documents in all.
+DOCS_PER_LANG, WINDOWS_PER_DOC, MOST_DOCS = 400, 3, 40_000
 EPOCHS, BATCH, RATE = 14, 64, 4e-3
 #: A-Z as a-z, digits as one; the rest as it is. 0 pads.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256)], np.uint8)
@@ -67,6 +67,26 @@ class ByteNet:
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
+    def gradients(self, x: np.ndarray, t: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the sum of weight times the cross-entropy of windows x whose languages are t."""
+        y, patches = self.features(x)
+        rows, at = np.arange(len(x)), y.argmax(1)  # windows x filters
+        raw = np.take_along_axis(y, at[:, None], 1)[:, 0] + self.bias
+        f = np.maximum(raw, 0)
+        z = f @ self.out + self.out_bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[rows, t] -= 1
+        p *= weight[:, None]
+        df = (p @ self.out.T) * (raw > 0)
+        best = patches[rows[:, None], at]  # windows x filters x (WIDE * EMBED)
+        dpatch = (df[:, :, None] * self.kernel.T).reshape(len(x), -1, WIDE, EMBED)
+        dembed = np.zeros_like(self.embed)
+        for j in range(WIDE):
+            np.add.at(dembed, x[rows[:, None], at + j].ravel(), dpatch[:, :, j].reshape(-1, EMBED))
+        return {"embed": dembed, "kernel": np.einsum("nfk,nf->kf", best, df), "bias": df.sum(0), "out": f.T @ p, "out_bias": p.sum(0)}
+
+
 def mask() -> np.ndarray:
     """Zero where a filter is narrower than the widest."""
     m = np.zeros((WIDE * EMBED, FILTERS * len(WIDTHS)), np.float32)
@@ -91,22 +111,8 @@ def train(windows: list[bytes], langs: list[str], seed: int = 7) -> ByteNet:
         for i in range(0, len(x), BATCH):
             rows = order[i : i + BATCH]
             xb, tb, n = x[rows], t[rows], len(rows)
-            y, patches = net.features(xb)
-            at = y.argmax(1)  # windows x filters
-            raw = np.take_along_axis(y, at[:, None], 1)[:, 0] + net.bias
-            f = np.maximum(raw, 0)
-            z = f @ net.out + net.out_bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(n), tb] -= 1
-            p *= share[tb][:, None] / n
-            df = (p @ net.out.T) * (raw > 0)
-            best = patches[np.arange(n)[:, None], at]  # windows x filters x (WIDE * EMBED)
-            dpatch = (df[:, :, None] * net.kernel.T).reshape(n, -1, WIDE, EMBED)
-            dembed = np.zeros_like(net.embed)
-            for j in range(WIDE):
-                np.add.at(dembed, xb[np.arange(n)[:, None], at + j].ravel(), dpatch[:, :, j].reshape(-1, EMBED))
-            grads = {"embed": dembed, "kernel": np.einsum("nfk,nf->kf", best, df) * keep, "bias": df.sum(0), "out": f.T @ p, "out_bias": p.sum(0)}
+            grads = net.gradients(xb, tb, share[tb] / n)
+            grads["kernel"] *= keep
             step += 1
             for name in params:
                 g = grads[name]
@@ -125,16 +131,22 @@ def is_held_out(doc_id: Column) -> Column:
 def fit(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> ByteNet | None:
     """Trains on a bounded sample of labelled (id, text, lang): of each language about docs_per_lang
     documents (fewer each where languages are many), those of smallest hash, with up to WINDOWS_PER_DOC
-    windows of each, cut out on the executors. Of over MOST_LANGS languages the most frequent are learned. Rows without text or lang are left out; None if none remain."""
+    windows of each, cut out on the executors. Where there are more languages than documents in the sample, it is drawn from all
+    rows alike, and the languages it holds are learned. Rows without text or lang are left out; None if none remain."""
     rows = labelled.where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
-    if not sizes:
+    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("c")), "langs")
+    n, total = counts.agg(F.count("*"), F.sum("c")).first()
+    if not n:
         return None
-    docs_per_lang = max(1, min(docs_per_lang, MOST_DOCS // len(sizes)))
+    docs_per_lang = max(1, min(docs_per_lang, MOST_DOCS // n))
     # A hash threshold for each language gives about 1.3 * docs_per_lang rows; the rest goes below.
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, 1.3 * docs_per_lang / r["count"]))])
     order = F.xxhash64(F.col("id").cast("string"), "text")
-    picked = rows.where((order / F.lit(2.0**63) + 1) / 2 <= F.try_element_at(share, F.col("lang"))).select("lang", "text", order.alias("order"))
+    place = (order / F.lit(2.0**63) + 1) / 2
+    if n <= MOST_DOCS:  # so many rows are broadcast at most
+        rows = rows.join(F.broadcast(counts), "lang").where(place <= F.lit(1.3 * docs_per_lang) / F.col("c"))
+    else:
+        rows = rows.where(place <= MOST_DOCS / total)
+    picked = rows.select("lang", "text", order.alias("order"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
@@ -184,8 +196,8 @@ def predict(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_c
 def identify(docs: DataFrame) -> DataFrame:
     """Fits on the labelled documents that are not held out and predicts all.
 
-    docs: doc_id, text, lang. Returns doc_id, held_out, lang_pred, score. Repeated rows are each
-    predicted; an empty table gives no rows.
+    docs: doc_id, text, lang. Returns doc_id, held_out, lang_pred, score. Very long texts are read whole. A null id is
+    handed on and held out; repeated rows are each predicted; other columns play no part; an empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").alias("id"), "text", "lang")
     net = fit(own.where(~is_held_out(F.col("id"))))

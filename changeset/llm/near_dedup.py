@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from .common import Words, arrow_map, chunks, digest, gram_hashes, materialize
 from .graph import connected_components
 
-#: Hashes a sketch retains, and how many retained neighbours make the key of an inverted list. Two sets of Jaccard
-#: similarity 0.8 with whole sets retained share such a run by counting (but for 4 against 5 shingles, which
-#: have keys of two); sketches of larger sets miss one with a chance of 0.695 ** 40 = 5e-7 at 0.8 and less above.
-KEEP, RUN = 40, 3
+#: Words of a shingle.
+SHINGLE = 5
+#: Hashes a sketch retains.
+KEEP = 40
 #: The estimate from 40 hashes deviates by 0.063 at 0.8; a pair is passed on from five and a half deviations below.
 SLACK = 0.35
-#: Lists with more members are crowded: their members are compared in blocks of about so many hashes, without pairing rows.
-CROWD, BLOCK_HASHES = 24, 1 << 17
+#: Members of a list are compared in blocks of about so many hashes.
+BLOCK_HASHES = 1 << 17
+#: Rounds in which the members of a list are compared with one of them, before any two are.
+STARS = 2
 
 
 def _shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
@@ -95,8 +97,19 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.withColumn("est", est).where(F.col("est") >= 0.8 - SLACK).select("a", "b", "est")
 
 
-def _linked(mine: list[tuple[bytes, np.ndarray]], theirs: list[tuple[bytes, np.ndarray]]) -> list[tuple[bytes, bytes]]:
-    """Of all links between two blocks of sets, as many as join what they join: at most one less than there are sets."""
+def _estimates(own: np.ndarray, theirs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The estimate that _estimated makes, of one sketch with each row of theirs (sketches of given sizes, filled up)."""
+    right = np.searchsorted(own, theirs, "right")
+    at = np.arange(theirs.shape[1])
+    both = (right > 0) & (own[np.maximum(right - 1, 0)] == theirs) & (at < sizes[:, None])
+    common = np.cumsum(both, axis=1)
+    seen = (both & (right + at + 1 - common <= KEEP)).sum(1)  # by its rank in the union
+    return seen / np.minimum(KEEP, len(own) + sizes - common[:, -1])
+
+
+def _linked(mine: list[tuple[bytes, bytes, np.ndarray]], theirs: list[tuple[bytes, bytes, np.ndarray]]) -> list[tuple[bytes, bytes]]:
+    """Of the links between two blocks of sets (name, component, hashes), as many as join what they join: at most one
+    less than there are sets. Sizes and union sketches tell which pairs are compared exactly."""
     parent: dict[bytes, bytes] = {}
 
     def root(x: bytes) -> bytes:
@@ -104,86 +117,102 @@ def _linked(mine: list[tuple[bytes, np.ndarray]], theirs: list[tuple[bytes, np.n
             parent[x] = x = parent[parent[x]]
         return x
 
-    sizes = np.array([len(v) for _, v in theirs])
-    values = np.concatenate([v for _, v in theirs])
+    sizes = np.array([len(v) for _, _, v in theirs])
+    short = np.minimum(sizes, KEEP)
+    sketches = np.zeros((len(theirs), KEEP), np.int64)
+    for k, (_, _, v) in enumerate(theirs):
+        sketches[k, : short[k]] = v[:KEEP]
+    values = np.concatenate([v for _, _, v in theirs])
     order = np.argsort(values, kind="stable")
     values, owner = values[order], np.repeat(np.arange(len(theirs)), sizes)[order]
     out = []
-    for name, own in mine:
+    for name, comp, own in mine:
+        maybe = (100 * np.minimum(sizes, len(own)) >= 80 * np.maximum(sizes, len(own))) & (_estimates(own[:KEEP], sketches, short) >= 0.8 - SLACK)
+        maybe = [j for j in np.flatnonzero(maybe).tolist() if root(comp) != root(theirs[j][1])]
+        if not maybe:
+            continue
         low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
         count = high - low
         at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
         shared = np.bincount(owner[at], minlength=len(theirs))
-        for j in np.flatnonzero(100 * shared >= 80 * (len(own) + sizes - shared)).tolist():
-            x, y = root(name), root(theirs[j][0])
-            if x != y:
+        for j in maybe:
+            x, y = root(comp), root(theirs[j][1])
+            if x != y and 100 * shared[j] >= 80 * (len(own) + sizes[j] - shared[j]):
                 parent[max(x, y)] = min(x, y)
                 out.append((name, theirs[j][0]))
     return out
 
 
-def _crowd_links(crowded: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among the members of crowded lists (key, sd). Lists that share members form a crowd; its members are
-    dealt into blocks of bounded size, and each two blocks are one row, compared exactly by an inverted index."""
+def _block_links(now: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of one list (key, sd, n, comp) that lie in different components. A list's members are dealt
+    into blocks of bounded size; each two blocks of one list are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, x, y in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "x", "y")), strict=True):
-                blocks = [[(d["sd"], np.frombuffer(d["items"], np.int64)) for d in side] for side in (x, y)]
+                blocks = [[(d["sd"], d["comp"], np.frombuffer(d["items"], np.int64)) for d in side] for side in (x, y)]
                 found = _linked(blocks[0], blocks[0] if i == j else blocks[1])
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    first = materialize(crowded.groupBy("key").agg(F.min("sd").alias("m")), "firsts")
-    # A member has at most KEEP lists; it and their first members are tied to the least of these.
-    hubs = crowded.join(first, "key").groupBy("sd").agg(F.min("m").alias("b"), F.collect_set("m").alias("ms"))
-    crowd = connected_components(hubs.select(F.explode(F.array_append("ms", F.col("sd"))).alias("a"), "b"))
-    members = crowd.select(F.col("node").alias("sd"), F.col("root").alias("crowd")).join(sets, "sd")
-    weight = materialize(members.groupBy("crowd").agg(F.ceil(F.sum(F.octet_length("items")) / (8 * BLOCK_HASHES)).cast("int").alias("n")), "weights")
-    blocks = members.join(weight, "crowd").groupBy("crowd", "n", F.pmod(F.xxhash64("sd"), F.col("n")).cast("int").alias("i")).agg(F.collect_list(F.struct("sd", "items")).alias("x"))
-    blocks = materialize(blocks, "blocks")
-    left = blocks.select("crowd", "i", "x", F.explode(F.sequence("i", F.col("n") - 1)).alias("j"))
-    pairs = left.join(blocks.select("crowd", F.col("i").alias("j"), F.col("x").alias("y")), ["crowd", "j"]).select("i", "j", "x", "y")
-    return arrow_map(pairs, run, "a binary, b binary")
+    # Two members have met already: one of them was the other's centre.
+    lists = now.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("p"), F.max("comp").alias("q"), F.ceil(F.sum("n") / BLOCK_HASHES).cast("int").alias("blocks"))
+    lists = materialize(lists.where("c > 2 and p <> q").select("key", "blocks"), "lists")
+    members = now.join(lists, "key").join(sets, "sd").withColumn("i", F.pmod(F.xxhash64("sd"), F.col("blocks")).cast("int"))
+    blocks = materialize(members.groupBy("key", "blocks", "i").agg(F.collect_list(F.struct("sd", "comp", "items")).alias("x")), "blocks")
+    left = blocks.select("key", "i", "x", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
+    pairs = left.join(blocks.select("key", F.col("i").alias("j"), F.col("x").alias("y")), ["key", "j"]).select("i", "j", "x", "y")
+    return arrow_map(pairs, run, "a binary, b binary").distinct()
+
 
+def _inverted(nodes: DataFrame) -> DataFrame:
+    """key, sd, n: the inverted lists of retained values, of each set its rarest ones.
 
-def classes(docs: DataFrame, size: int = 4, texts: bool = False) -> DataFrame:
+    Two sets of similarity 0.8 share at least `need` retained values: all of small sets are retained, so four fifths of
+    them; of larger sets the estimate decides, so its least share of KEEP. Of these the rarest one, by number of sets and
+    then by value, is among the first `kept - need + 1` of either set, and only those are listed. What stands in very
+    many sets, as a common line does, is listed only for sets that consist of such values for the most part.
+    """
+    kept = F.least("n", F.lit(KEEP))
+    need = F.when(F.ceil(F.col("n") / F.lit(0.8)) <= KEEP, F.ceil(F.col("n") * F.lit(0.8) - 1e-9)).otherwise(F.ceil(F.lit(KEEP * (0.8 - SLACK) - 1e-9))).cast("int")
+    rows = nodes.where("n >= 4").select("sd", "n", F.explode("sketch").alias("key"))
+    counts = materialize(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    ranked = rows.join(counts, "key").groupBy("sd", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("ranked"))  # at most KEEP
+    first = F.slice("ranked", F.lit(1), F.greatest(F.size("ranked") - need + 1, F.lit(0)))
+    lists = materialize(ranked.select("sd", "n", F.explode(first.getField("key")).alias("key")), "lists")
+    again = materialize(lists.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "counts")
+    return materialize(lists.join(again, "key"), "lists")
+
+
+def classes(docs: DataFrame, size: int = SHINGLE, texts: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document.
 
     docs: doc_id, text. Documents with one shingle set are one class, represented once, so copies are
-    never paired. Each class enters the inverted lists of its keys (runs of RUN retained hashes). The
-    members of crowded lists are compared in blocks. Members of the other lists are first linked with
-    their list's centre; what then still lies in different components of one list is paired. Pairs are
-    estimated by union sketches, and all links are confirmed on full sets. Null and empty texts have no
-    shingles and are linked with nothing, each its own component. A null doc_id has its group's
-    smallest id, or none; repeated rows are alike. Empty table: no rows. texts: adds td (the text's
+    never paired. Inverted lists of retained values say which classes overlap. The members of a list are first
+    compared with its centre, twice; then any two of a list that still lie in different components are, in blocks.
+    Union sketches choose the pairs and all links are confirmed on full sets. Null and empty texts have no
+    shingles and are linked with nothing, each its own component. Very long texts count whole. A null doc_id has its group's
+    smallest id, or none; repeated rows are alike. Other columns play no part. Empty table: no rows. texts: adds td (the text's
     digest) and root (which names the group), for tables that repeat an id with other texts.
     """
     sig = materialize(signatures(docs, size), "sketches")
-    nodes = sig.where("n > 0").groupBy("sd").agg(F.min("td").alias("td"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    runs = lambda k: F.transform(F.sequence(F.lit(0), F.size("sketch") - k), lambda i: F.xxhash64(*[F.get("sketch", i + j) for j in range(k)]))
-    pairs_too = F.when(F.col("n").between(4, 5), runs(RUN - 1)).otherwise(F.array().cast("array<bigint>"))
-    lists = nodes.where("n >= 4").select("sd", F.explode(F.array_distinct(F.concat(runs(RUN), pairs_too))).alias("key"))
-    shared = lists.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    shared = materialize(shared, "shared")
-    lists = materialize(lists.join(shared, "key"), "lists")
-    nodes = materialize(nodes.join(lists.select("sd").distinct(), "sd", "left_semi"), "nodes")
-    comps = links = None
+    every = materialize(sig.where("n > 0").groupBy("sd").agg(F.min("td").alias("td"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    lists = _inverted(every)
+    nodes = materialize(every.join(lists.select("sd").distinct(), "sd", "left_semi"), "nodes")
+    comps = None
     if not nodes.isEmpty():
         sets = materialize(_sets_of(docs, nodes, size), "sets")
-        links = materialize(_crowd_links(lists.where(F.col("c") > CROWD).select("key", "sd"), sets), "links")
-        comps = connected_components(links)
-        lists = lists.where(F.col("c") <= CROWD)
-    for step in ("stars", "pairs") if links is not None else ():
-        now = lists.join(comps, lists["sd"] == comps["node"], "left").select("key", "sd", F.coalesce("root", "sd").alias("comp"))
-        if step == "stars":
-            centre = now.groupBy("key").agg(F.min(F.struct("sd", "comp")).alias("m")).select("key", F.col("m.sd").alias("a"), F.col("m.comp").alias("ca"))
-            pairs = centre.join(now.select("key", F.col("sd").alias("b"), F.col("comp").alias("cb")), "key").where("a <> b and ca <> cb")
-        else:
-            x, y = now.select("key", F.col("sd").alias("a"), F.col("comp").alias("ca")), now.select("key", F.col("sd").alias("b"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "key").where("a < b and ca <> cb")
-        pairs = materialize(_estimated(pairs.select("a", "b").distinct(), nodes), "pairs")
-        links = materialize(links.unionByName(_verified(pairs, sets)), "links")
-        comps = connected_components(links)
+        links = None
+        for step in range(STARS + 1):
+            now = lists.withColumn("comp", F.col("sd")) if comps is None else lists.join(comps, lists["sd"] == comps["node"], "left").select("key", "sd", "n", F.coalesce("root", "sd").alias("comp"))
+            if step < STARS:
+                place = F.xxhash64("sd", F.lit(step))
+                centre = materialize(now.groupBy("key").agg(F.min(F.struct(place.alias("place"), "sd", "comp")).alias("m")).select("key", F.col("m.sd").alias("a"), F.col("m.comp").alias("ca")), "centres")
+                pairs = centre.join(now.select("key", F.col("sd").alias("b"), F.col("comp").alias("cb")), "key").where("ca <> cb")
+                found = _verified(materialize(_estimated(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes), "pairs"), sets)
+            else:
+                found = _block_links(now, sets)
+            links = materialize(found if links is None else links.unionByName(found), "links")
+            comps = connected_components(links)
     more = ["td", "root"] if texts else []
     grouped = sig.where("n > 0").select("doc_id", "td", "n", "sd")
     rooted = grouped.withColumn("root", F.col("sd")) if comps is None else grouped.join(comps, grouped["sd"] == comps["node"], "left").select("doc_id", "td", "n", F.coalesce("root", "sd").alias("root"))

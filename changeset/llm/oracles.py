@@ -46,7 +46,10 @@ SELECT x doc_id, coalesce(any_value(n), 0) n_shingles, min(y) component_id, x =
 
 CHAT = """WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, 0) turn, coalesce(role, 'unknown') role, coalesce(text, '') x FROM conversations WHERE conv_id IS NOT NULL),
 who AS (SELECT DISTINCT conv_id, role perspective FROM t WHERE role <> 'system'),
-j AS (SELECT *, CAST(floor(turn / 64) AS bigint) part, '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) || x || '<|im_end|>' || chr(10) line FROM t JOIN who USING (conv_id))
+d AS (SELECT *, CAST(floor(turn / 1024) AS bigint) part FROM t),
+lead AS (SELECT * FROM t WHERE role = 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, x) = 1),
+e AS (SELECT * FROM d UNION ALL SELECT lead.*, part FROM lead JOIN (SELECT DISTINCT conv_id, part FROM d) USING (conv_id) WHERE part > floor(turn / 1024)),
+j AS (SELECT *, '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) || x || '<|im_end|>' || chr(10) line FROM e JOIN who USING (conv_id))
 SELECT conv_id, perspective, part, count(*) n_turns, CAST(sum(length(line)) AS bigint) n_chars, count(*) FILTER (WHERE role = perspective) n_spans, CAST(coalesce(sum(length(x) + 10) FILTER (WHERE role = perspective), 0) AS bigint) n_learned,
 sha256(string_agg(line, '' ORDER BY turn, role, x)) rendered_sha256 FROM j GROUP BY 1, 2, 3"""
 

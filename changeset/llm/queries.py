@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import chat, decontaminate, lang_id, license_scan, mixing, near_dedup, oracles, quality, substring_dedup, token_count, url_filter
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: Words of a shingle in op3_near_dedup.
+OP3_WORDS = 4
 TOKENIZER = "word_bpe_49k.json"
 #: Tokens up to which a document fits.
 TOKEN_LIMIT = 2048
@@ -28,7 +30,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(table(spark, sf_dir, "documents"))
+    return near_dedup.classes(table(spark, sf_dir, "documents"), size=OP3_WORDS)
 
 
 def op4_token_count(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:

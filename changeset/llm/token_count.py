@@ -77,10 +77,11 @@ def _encoder(path: str, version: str):
     memo = _MEMO.setdefault(version, {})
 
     def count(texts: list[bytes]) -> list[int]:
-        # Lower case first, as the tokenizer does; not where that might make or break a special string.
+        # ASCII words in lower case first, as the tokenizer does in the end; others as they are, since it composes characters
+        # before that. Not where lower case might make a special string, nor where there is one.
         low = [t.lower() for t in texts]
         odd = [i for i, (t, x) in enumerate(zip(texts, low, strict=True)) if any(s in t or s in x for s in special)]
-        words = [x.split() for x in low]
+        words = [x.split() if x.isascii() else [w.lower() if w.isascii() else w for w in t.split()] for t, x in zip(texts, low, strict=True)]
         for i in odd:
             words[i] = []
         if len(memo) > MEMO_WORDS:
@@ -103,8 +104,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     are not encoded again; of the others each distinct one is encoded once and appended, so a second
     call encodes nothing. Copies meet in a partially aggregated group before the shuffle. Appends are
     committed as a whole: a lost job leaves the cache as it was; should two calls add the same
-    content, both rows agree and one is read. Returns doc_id, n_bytes (UTF-8, of the text as it is), n_tokens. Null
-    texts count as empty: 0 and 0. The tokenizer file must be at the same path on every executor.
+    content, both rows agree and one is read. Of the cache only the contents of this call are aggregated. Returns doc_id, n_bytes
+    (UTF-8, of the text as it is), n_tokens. Null texts count as empty: 0 and 0. Very long texts count whole, a null id is
+    handed on, repeated rows are encoded once and counted each, other columns play no part, and an empty table gives no rows.
+    The tokenizer file must be at the same path on every executor.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
@@ -130,5 +133,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(out), pa.string()), batch.column("content"), pa.array(out, pa.int64())], ["tokenizer", "content", "n_tokens"])
 
     arrow_map(misses, encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    stored = materialize(spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "counts")
-    return keyed.join(stored, "content").select("doc_id", "n_bytes", "n_tokens")
+    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).select("content", "n_tokens")
+    counts = materialize(stored.join(keyed.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    return keyed.join(counts, "content").select("doc_id", "n_bytes", "n_tokens")

@@ -58,14 +58,19 @@ def resolved(target: Column, url: Column) -> Column:
     )
 
 
-def links_of(html: Column, url: Column) -> Column:
-    """Absolute targets of a page's canonical links and immediate refreshes: &amp; decoded, relative ones resolved against the page's url."""
-    text = F.coalesce(html, F.lit(""))
+def links_of(pages: DataFrame) -> DataFrame:
+    """url, to: absolute targets of the pages' canonical links and immediate refreshes: &amp; decoded, relative ones resolved against
+    the page's base or else its url. What stands in comments, scripts and styles is no link."""
+    attribute = r"""[^>]*?\b%s\s*=\s*["']?([^"'\s>]+)"""
+    told = pages.where(F.col("html").rlike(r"(?i)<link\b[^>]*canonical|<meta\b[^>]*refresh") & F.col("url").isNotNull())
+    text = told.select("url", F.regexp_replace("html", r"(?is)<!--.*?(?:-->|$)|<(script|style)\b.*?(?:</\1\s*>|$)", "").alias("text"))
     found = F.concat(
-        F.regexp_extract_all(text, F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""), 1),
-        F.regexp_extract_all(text, F.lit(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""), 1),
+        F.regexp_extract_all("text", F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)""" + attribute % "href"), 1),
+        F.regexp_extract_all("text", F.lit(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)""" + attribute % "url"), 1),
     )
-    return F.transform(found, lambda x: resolved(decoded(x), url))
+    each = text.select("url", decoded(F.regexp_extract("text", r"(?is)<base\b" + attribute % "href", 1)).alias("base"), F.explode(found).alias("target"))
+    based = each.select("url", "target", F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(resolved(F.col("base"), F.col("url")), F.col("url"))).alias("base"))
+    return based.select("url", resolved(decoded(F.col("target")), F.col("base")).alias("to"))
 
 
 def _rule_of(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -95,18 +100,22 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: D
     has that rule's verdict. Another page takes its group's: allow if any member is allowed by a
     rule (explicit allow goes first), else block if any is blocked, else allow. Returns page_id,
     host, path, rule, verdict, group (the smallest address of its aliases). Null or odd urls: empty
-    host and path, no rule, no alias, allow. Repeated pages give repeated rows; an empty table, none.
+    host and path, no rule, no alias, allow. Rules of equal length that both fit: the smaller by text, then by verdict. Very long
+    urls and pages are read whole; a null page_id is handed on; other columns of pages play no part. Repeated pages give
+    repeated rows; an empty table, none.
     """
     own = pages.select("page_id", F.col("url").alias("url"), F.col("html").alias("html"))
     judged = _rule_of(own.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node")), rules)
-    edges = own.select(node_of(F.col("url")).alias("a"), F.explode(links_of(F.col("html"), F.col("url"))).alias("to")).select("a", node_of(F.col("to")).alias("b"))
+    edges = links_of(own).select(node_of(F.col("url")).alias("a"), node_of(F.col("to")).alias("b"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node_of(F.col(redirects.columns[0])).alias("a"), node_of(F.col(redirects.columns[1])).alias("b")))
     groups = connected_components(edges)
     judged = judged.join(groups.withColumnRenamed("root", "group"), judged["node"] == groups["node"], "left").drop(groups["node"])
     judged = judged.withColumn("group", F.coalesce("group", "node"))
-    # One row for each group that a rule speaks about: partial counts first, so a hot group is no hot task.
-    said = materialize(judged.where("group is not null and fit is not null").groupBy("group").agg(F.max(F.expr("fit.verdict = 'allow'")).alias("allowed")), "said")
+    # One row for each group that has members with a rule and members without: the others have nothing to hand on, and of them
+    # there are as many as addresses. Partial counts first, so a hot group is no hot task.
+    said = judged.where("group is not null").groupBy("group").agg(F.max(F.expr("fit.verdict = 'allow'")).alias("allowed"), F.max(F.expr("fit is null")).alias("open"))
+    said = materialize(said.where("open and allowed is not null").select("group", "allowed"), "said")
     out = judged.join(said, "group", "left")
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("allowed").eqNullSafe(False), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "group")
