@@ -19,8 +19,8 @@ DRIVER_CELLS = 100_000
 #: The fit ends with the first round whose marginals were all so close to their goals (as shares of all tokens). One that
 #: isn't so close after ROUNDS has targets that can't all be met at once; that is told by a warning.
 ROUNDS, CLOSE = 400, 1e-9
-#: A factor that grows without end, of a value whose goal others keep it from, stays here.
-MOST_FACTOR = 1e12
+#: The factor of a value that has to give (this share of) all it has, and the end of one that grows because others keep it from its goal.
+MOST_FACTOR, WHOLE = 1e12, 1 - 1e-12
 
 
 def topic_of(text: Column) -> Column:
@@ -54,17 +54,22 @@ def reachable(goal: np.ndarray, most: np.ndarray) -> np.ndarray:
 def rake(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], budget: float) -> tuple[np.ndarray, float]:
     """Probabilities of cells for which the expected tokens have the goals as marginals, and by how much they miss them.
 
-    tokens and goals are shares of all tokens. All begin at the budget; each round scales the factors of one dimension's
-    values after the other by what their cells should hold and do hold, where no cell holds more than all its tokens.
+    tokens and goals are shares of all tokens. All begin at the budget, but values that have to give all they have. Each
+    round scales the factors of one dimension's values after the other: cells that give all their tokens stand for
+    those, and the others are scaled to what is left of the goal.
     """
-    factors, off = [np.ones(len(g)) for g in goals], 0.0
+    most = [np.bincount(c, tokens, len(g)) for c, g in zip(codes, goals, strict=True)]
+    factors, off = [np.where(g >= m * WHOLE, MOST_FACTOR, 1.0) for g, m in zip(goals, most, strict=True)], 0.0
     ratio = lambda: budget * np.prod([f[c] for f, c in zip(factors, codes, strict=True)], axis=0)
     for _ in range(ROUNDS):
         off = 0.0
         for k, (code, goal) in enumerate(zip(codes, goals, strict=True)):
-            have = np.bincount(code, tokens * np.minimum(1.0, ratio()), len(goal))
-            off = max(off, float(np.abs(have - goal).max()))
-            factors[k] = np.minimum(factors[k] * np.divide(goal, have, out=np.zeros_like(goal), where=have > 0), MOST_FACTOR)
+            r = ratio()
+            full, part = np.bincount(code, tokens * (r >= 1), len(goal)), np.bincount(code, np.where(r < 1, tokens * r, 0), len(goal))
+            off = max(off, float(np.abs(full + part - goal).max()))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                step = np.where(goal > full, np.where(part > 0, (goal - full) / part, 1.0), np.where(full + part > 0, goal / (full + part), 0.0))
+            factors[k] = np.where(goal >= most[k] * WHOLE, MOST_FACTOR, np.minimum(factors[k] * step, MOST_FACTOR))
         if off < CLOSE:
             break
     return np.minimum(1.0, ratio()), off
@@ -87,7 +92,7 @@ def _reachable_far(goals: DataFrame) -> DataFrame:
     while True:
         n, full, rest = goals.agg(F.count(F.when(over, 1)), F.coalesce(F.sum(F.when(over, F.col("share"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("goal"))), F.lit(0.0))).first()
         if n == before or not rest:
-            return goals.withColumn("goal", F.least("goal", "share")).drop("share")
+            return goals.withColumn("goal", F.least("goal", "share"))
         before = n
         goals = materialize(goals.withColumn("goal", F.when(over, F.col("share")).otherwise(F.col("goal") * F.lit((total - full) / rest))), "goals")
 
@@ -111,8 +116,9 @@ def _fit_far(cells: DataFrame, dims: list[str], targets: dict[str, dict] | None,
         s = share.agg(F.sum("goal")).first()[0]
         if not s > 0:
             raise ValueError("no target names a value that the documents have")
-        goals[d] = materialize(_reachable_far(share.withColumn("goal", F.col("goal") * F.lit(budget / s))), "goals")
-        factors[d] = goals[d].select(d, F.lit(1.0).alias(f"_{d}"))
+        goals[d] = _reachable_far(share.withColumn("goal", F.col("goal") * F.lit(budget / s)))
+        goals[d] = materialize(goals[d].select(d, "goal", (F.col("goal") >= F.col("share") * WHOLE).alias("whole")), "goals")
+        factors[d] = materialize(goals[d].select(d, F.when(F.col("whole"), F.lit(MOST_FACTOR)).otherwise(F.lit(1.0)).alias(f"_{d}")), "factors")
 
     def chances() -> DataFrame:
         now, ratio = cells, F.lit(budget)
@@ -124,9 +130,11 @@ def _fit_far(cells: DataFrame, dims: list[str], targets: dict[str, dict] | None,
     for _ in range(ROUNDS):
         off, old = 0.0, []
         for d in dims:
-            have = chances().groupBy(d).agg((F.sum(F.col("n_tokens") * F.col("p")) / F.lit(total)).alias("have")).join(goals[d], d).join(factors[d], d)
-            scaled = F.least(F.col(f"_{d}") * F.expr("if(have > 0, goal / have, 0)"), F.lit(MOST_FACTOR))
-            have = materialize(have.select(d, F.abs(F.col("have") - F.col("goal")).alias("off"), scaled.alias(f"_{d}")), "factors")
+            held = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n_tokens") * F.col("p"))), F.lit(0.0)) / F.lit(total)
+            have = chances().groupBy(d).agg(held(F.col("p") >= 1).alias("full"), held(F.col("p") < 1).alias("part")).join(goals[d], d).join(factors[d], d)
+            step = F.expr("if(goal > full, if(part > 0, (goal - full) / part, 1), if(full + part > 0, goal / (full + part), 0))")
+            scaled = F.when(F.col("whole"), F.lit(MOST_FACTOR)).otherwise(F.least(F.col(f"_{d}") * step, F.lit(MOST_FACTOR)))
+            have = materialize(have.select(d, F.abs(F.col("full") + F.col("part") - F.col("goal")).alias("off"), scaled.alias(f"_{d}")), "factors")
             off = max(off, have.agg(F.max("off")).first()[0])
             old.append(factors[d])
             factors[d] = have.drop("off")
