@@ -45,8 +45,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn, with topic, number of words and the probability of being drawn; without texts."""
-    return mixing.mix(docs).where("sampled").drop("sampled")
+    """The documents drawn, with topic, number of words and the probability of being drawn."""
+    return mixing.mix(docs, keep=["text", "n_chars"]).where("sampled").drop("sampled")
 
 
 STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("benchmark leaks", benchmark_leaks), ("source mix", source_mix)]
