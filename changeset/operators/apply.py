@@ -91,16 +91,33 @@ def _step(state: State, source: State, op: Operation, strict: bool, zero: bool,
             if resolver:
                 value = resolver(op.path, op.kind, source.find(op.path).value, value)
             changed, own = state.put(op.path, value)
+        elif op.kind == "custom":
+            have = source.find(op.path)
+            if strict and (fine := op.checked(have.value)) is not None:
+                error = F.when(~F.coalesce(fine, F.lit(False)), F.lit(f"{op.path}: strict check failed"))
+            value = op.applied(have.value)
+            changed, own = state.put(op.path, resolver(op.path, op.kind, have.value, value) if resolver else value)
         elif op.kind == "remove":
             changed, own = state.drop(op.path, zero)
+            if resolver:
+                have = state.find(op.path)
+                kept = resolver(op.path, op.kind, have.value, F.lit(None).cast(have.dtype))
+                put, wrong = state.put(op.path, kept)
+                changed, own = {n: F.when(kept.isNotNull(), put[n]).otherwise(c) for n, c in changed.items()}, F.when(kept.isNotNull(), wrong).otherwise(own)
         else:
             found = source.find(op.from_path)
             kind = state.find(op.path).dtype
             missing = F.when(~F.coalesce(found.present, F.lit(False)), F.lit(f"{op.from_path}: there is no value"))
             value = found.value if found.dtype == kind else found.value.try_cast(kind)
             changed, own = {}, none
+            taken = F.lit(True)
+            if resolver:
+                settled = resolver(op.path, op.kind, source.find(op.path).value, value)
+                value, taken = settled, settled.eqNullSafe(value)
             if op.kind == "move":
                 changed, own = state.drop(op.from_path, zero)
+                if resolver:  # a value that isn't let go stays where it was
+                    changed, own = {n: F.when(taken, c).otherwise(state.columns[n]) for n, c in changed.items()}, F.when(taken, own)
             after = State(state.schema)
             after.columns = {**state.columns, **changed}
             more, last = after.put(op.path, value)
@@ -120,7 +137,8 @@ def apply_static(
     An operation that fails leaves its row as it is and its message in errors; later ones still run.
     status: ok, error, guard_failed or guard_error; on_guard_fail drop filters rows out before (the
     guard then reaches the scan). schema: the row's with field metadata, if df has none.
-    resolver(path, kind, current, proposed) gives the value that is set.
+    resolver(path, kind, current, proposed) gives the value that is set: of a remove, whose proposal is null, a value
+    keeps the place; a move whose proposal isn't taken as it is leaves its source.
     """
     if table_id is not None and patch.table_id not in (None, table_id):
         raise ValueError(f"the patch is for {patch.table_id}, not {table_id}")

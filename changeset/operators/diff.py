@@ -51,7 +51,7 @@ def value_ops(
     unless preserve_order. Other lists: one replace if lengths differ, else by position. names: the path, where it is the same in all rows.
     """
     if custom and (rule := (custom.get(normalise(join(names))) if names else None) or custom.get(dtype.simpleString())):
-        return rule(a, b, path)
+        return getattr(rule, "diff", rule)(a, b, path)
     if atomic:
         return _whole(a, b, dtype, path, ieee_nan)
     go = lambda x, y, kind, p: value_ops(x, y, kind, p, custom, ieee_nan, preserve_order)
@@ -116,7 +116,7 @@ def diff(
     One full outer join on the entity key, whose columns must not be null; both scans read only the
     compared columns. Ops of an entity follow the fields' declaration. rows: an entity on one side
     only is one op at / (whole), or an op for each non-null field (leaves). schema: a's with field metadata.
-    custom: {path or type: (old, new, path) -> array of op structs}. NaN equals NaN unless ieee_nan.
+    custom: {path or type: (old, new, path) -> array of op structs, or an object whose method diff is that}. NaN equals NaN unless ieee_nan.
     """
     schema = schema or a.schema
     checked(schema)

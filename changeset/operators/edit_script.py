@@ -9,49 +9,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCRIPT = "array<struct<kind:string,at:int,old:string,new:string>>"
-#: Differences beyond which a list is replaced as a whole: the search keeps a frontier for each.
-MOST_EDITS = 2000
-
-
-def shortest(a: Sequence, b: Sequence, most: int = MOST_EDITS) -> list[tuple[str, int, object, object]] | None:
-    """(remove, position in a, value, None) and (add, position in b, None, value), by the greedy O(ND) search
-    between the common prefix and suffix; None if more than `most` edits are needed."""
-    head = 0
-    while head < len(a) and head < len(b) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < len(a) - head and tail < len(b) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+
+
+def _middle(x: Sequence, y: Sequence) -> tuple[int, int]:
+    """A place (i, j) that a shortest script from x to y passes about halfway: searches from both ends until they meet.
+    Both lists have values, and differ at their first and at their last."""
     n, m = len(x), len(y)
-    reach, kept = {1: 0}, []
-    for d in range(n + m + 1):
-        if d > most:
-            return None
-        kept.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            i = reach.get(k + 1, -1) if k == -d or k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1) else reach[k - 1] + 1
-            j = i - k
-            while i < n and j < m and x[i] == y[j]:
-                i, j = i + 1, j + 1
-            reach[k] = i
-            if i >= n and j >= m:
-                break
-        else:
+    ahead, back = {1: 0}, {1: 0}
+    for d in range((n + m + 1) // 2 + 1):
+        for reach, other, a, b, late in ((ahead, back, x, y, False), (back, ahead, x[::-1], y[::-1], True)):
+            for k in range(-d, d + 1, 2):
+                i = reach.get(k + 1, -1) if k == -d or k != d and reach[k - 1] < reach[k + 1] else reach[k - 1] + 1
+                j = i - k
+                while i < n and 0 <= j < m and a[i] == b[j]:
+                    i, j = i + 1, j + 1
+                reach[k] = i
+                there = other.get(n - m - k)
+                # The first search meets the other's last round, the second one this round of the first.
+                if there is not None and ((n - m) % 2 == 0) == late and abs(n - m - k) <= (d if late else d - 1) and i + there >= n:
+                    return (n - i, m - j) if late else (i, j)
+    raise AssertionError("the searches meet")
+
+
+def shortest(a: Sequence, b: Sequence) -> list[tuple[str, int, object, object]]:
+    """(remove, position in a, value, None) and (add, position in b, None, value), as few as possible, in order of place.
+
+    Divides at a middle place of a shortest script, so memory grows with the lists and not with the edits squared.
+    """
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+        if i == n or j == m:
+            out += [("remove", k, a[k], None) for k in range(i, n)] + [("add", k, None, b[k]) for k in range(j, m)]
             continue
-        break
-    out, i, j = [], n, m
-    for before in reversed(kept[1:]):
-        k = i - j
-        down = before.get(k + 1, -1) > before.get(k - 1, -1) or k - 1 not in before
-        pk = k + 1 if down else k - 1
-        pi = before[pk]
-        pj = pi - pk
-        while i > pi + (not down) and j > pj + down:
-            i, j = i - 1, j - 1
-        out.append(("add", head + j - 1, None, y[j - 1]) if down else ("remove", head + i - 1, x[i - 1], None))
-        i, j = pi, pj
-    return out[::-1]
+        u, v = _middle(a[i:n], b[j:m])
+        todo += [(i + u, n, j + v, m), (i, i + u, j, j + v)]
+    return out
 
 
 def run_script(a: Sequence, script: list[tuple[str, int, object, object]]) -> list:
@@ -64,8 +61,7 @@ def run_script(a: Sequence, script: list[tuple[str, int, object, object]]) -> li
 
 
 def edit_scripts(df: DataFrame, key: list[str], before: str, after: str) -> DataFrame:
-    """key, script for two columns of string lists; null lists count as empty. A list that needs more than MOST_EDITS edits is
-    removed and added whole. Equal pairs are told in the JVM and never reach Python."""
+    """key, script for two columns of string lists; null lists count as empty. Equal pairs are told in the JVM and never reach Python."""
     own = df.select(*key, before, after)
     same = F.coalesce(F.col(before), F.array().cast("array<string>")) == F.coalesce(F.col(after), F.array().cast("array<string>"))
     kinds = ", ".join(f"`{k}` {own.schema[k].dataType.simpleString()}" for k in key)
@@ -74,17 +70,26 @@ def edit_scripts(df: DataFrame, key: list[str], before: str, after: str) -> Data
         for batch in batches:
             out = []
             for a, b in zip(batch.column(before).to_pylist(), batch.column(after).to_pylist(), strict=True):
-                a, b = a or [], b or []
-                s = shortest(a, b)
-                if s is None:
-                    s = [*(("remove", i, v, None) for i, v in enumerate(a)), *(("add", i, None, v) for i, v in enumerate(b))]
-                out.append([{"kind": k, "at": i, "old": o, "new": v} for k, i, o, v in s])
+                out.append([{"kind": k, "at": i, "old": o, "new": v} for k, i, o, v in shortest(a or [], b or [])])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("at", pa.int32()), ("old", pa.string()), ("new", pa.string())]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), pa.array(out, kind)], [*key, "script"])
 
     return own.where(~same).mapInArrow(run, f"{kinds}, script {SCRIPT}").unionByName(own.where(same).select(*key, F.array().cast(SCRIPT).alias("script")))
 
 
+def apply_scripts(df: DataFrame, key: list[str], column: str, script: str) -> DataFrame:
+    """key and column, a list of strings, after its script; null lists count as empty."""
+    own = df.select(*key, column, script)
+    kinds = ", ".join(f"`{k}` {own.schema[k].dataType.simpleString()}" for k in key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [run_script(a or [], [(e["kind"], e["at"], e["old"], e["new"]) for e in s or ()]) for a, s in zip(batch.column(column).to_pylist(), batch.column(script).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), pa.array(out, pa.list_(pa.string()))], [*key, column])
+
+    return own.mapInArrow(run, f"{kinds}, `{column}` array<string>")
+
+
 def shifted_positions(ops: DataFrame, lists: list[str], order: str) -> DataFrame:
     """Adds position: at of an edit as it is when the edits are run one after another: earlier additions move it up, removals down."""
     line = Window.partitionBy(*lists).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

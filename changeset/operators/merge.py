@@ -11,7 +11,7 @@ from .apply import apply_table
 from .diff import diff
 from .ops import op_table
 
-#: (path, local new value, remote new value) -> merged value; null values are removals.
+#: (path, local new value, remote new value) -> merged value, all as JSON text; null values are removals.
 Resolver = Callable[[Column, Column, Column], Column]
 
 
@@ -23,12 +23,20 @@ def local_wins(path: Column, local: Column, remote: Column) -> Column:
     return local
 
 
+def _greater(x: Column, y: Column) -> Column:
+    """Whether the JSON value x is greater than y: numbers by their amount, strings by their characters, else by their text."""
+    number = lambda v: F.when(~v.startswith('"'), v.try_cast("decimal(38,10)"))
+    inexact = lambda v: F.when(~v.startswith('"'), v.try_cast("double"))
+    string = lambda v: F.when(v.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v"))
+    return F.coalesce(number(x) > number(y), inexact(x) > inexact(y), string(x) > string(y), x > y)
+
+
 def largest(path: Column, local: Column, remote: Column) -> Column:
-    return F.greatest(local, remote)
+    return F.when(local.isNull(), remote).when(remote.isNull(), local).otherwise(F.when(_greater(local, remote), local).otherwise(remote))
 
 
 def smallest(path: Column, local: Column, remote: Column) -> Column:
-    return F.least(local, remote)
+    return F.when(local.isNull(), remote).when(remote.isNull(), local).otherwise(F.when(_greater(local, remote), remote).otherwise(local))
 
 
 def either(path: Column, local: Column, remote: Column) -> Column:

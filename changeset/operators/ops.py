@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import conditions as C
 from ..functions.paths import parse, resolve
 
-KINDS = ("add", "remove", "replace", "move", "copy", "log")
+KINDS = ("add", "remove", "replace", "move", "copy", "log", "custom")
 #: Columns of a patch table besides the entity's key; old and new hold canonical JSON text.
 OP_COLUMNS = {"seq": "int", "kind": "string", "path": "string", "from_path": "string", "old": "string", "new": "string", "if_cond": "string", "unless_cond": "string", "strict": "boolean"}
 
@@ -106,6 +106,7 @@ class Patch:
             "move": lambda o: f"Move {o.from_path} to {o.path}",
             "copy": lambda o: f"Copy {o.from_path} to {o.path}",
             "log": lambda o: f"Log {o.path}: {_shown(o.new)}",
+            "custom": lambda o: o.line(),
         }
         return "\n".join(line[o.kind](o) for o in self.ops)
 
@@ -117,6 +118,7 @@ class Patch:
             "replace": lambda o: Operation("replace", o.path, o.new, o.old),
             "move": lambda o: Operation("move", o.from_path, from_path=o.path),
             "copy": lambda o: Operation("remove", o.path),
+            "custom": lambda o: o.reversed(),
         }
         return Patch(tuple(back[o.kind](o) for o in reversed(self.ops) if o.kind != "log"), strict=self.strict, table_id=self.table_id)
 
@@ -124,6 +126,8 @@ class Patch:
         """The patch as op rows, without an entity key."""
         import json
 
+        if any(o.kind == "custom" for o in self.ops):
+            raise ValueError("an operation of the caller's own has no row")
         rows = [(i, o.kind, o.path, o.from_path, None if o.old is None else json.dumps(o.old), None if o.new is None else json.dumps(o.new), o.if_ and o.if_.to_json(), o.unless and o.unless.to_json(), self.strict) for i, o in enumerate(self.ops)]
         return spark.createDataFrame(rows, ", ".join(f"{k} {v}" for k, v in OP_COLUMNS.items()))
 

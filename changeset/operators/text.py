@@ -35,17 +35,12 @@ class Run:
 def ordered(runs: Iterable[Run]) -> tuple[list[Run], list[Run]]:
     """(runs in reading order, orphans): below each byte its followers, newest id first, depth first from the zero id.
     Orphans have a predecessor that hasn't come yet; they are kept and not shown."""
-    after: dict[tuple[int, str], list[Run]] = defaultdict(list)
+    after: dict[Id, list[Run]] = defaultdict(list)
     for r in runs:
-        after[r.p[0], r.p[2]].append(r)
+        after[r.p].append(r)
     out: list[Run] = []
-    by_owner = {k: sorted(v, key=lambda r: (r.p[1], r.id)) for k, v in after.items()}
     seen: set[int] = set()
-
-    def followers(owner: tuple[int, str], low: int, high: int) -> list[Run]:
-        return [r for r in by_owner.get(owner, ()) if low <= r.p[1] <= high and id(r) not in seen]
-
-    todo: list[object] = sorted((r for r in after.get((0, ""), ()) if r.p == ZERO), key=lambda r: r.id)
+    todo = sorted(after.get(ZERO, ()), key=lambda r: r.id)
     while todo:
         item = todo.pop()
         if id(item) in seen:
@@ -53,7 +48,7 @@ def ordered(runs: Iterable[Run]) -> tuple[list[Run], list[Run]]:
         seen.add(id(item))
         out.append(item)
         # A run is never followed from its middle: split runs before ordering them.
-        todo += sorted(followers((item.id[0], item.id[2]), item.last()[1], item.last()[1]), key=lambda r: r.id)
+        todo += sorted(after.get(item.last(), ()), key=lambda r: r.id)
     return out, [r for r in runs if id(r) not in seen]
 
 

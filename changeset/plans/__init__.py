@@ -1 +1,5 @@
-"""The query catalogue and its fixtures."""
+"""The query catalogue and its inputs."""
+
+from . import catalogue, more
+
+__all__ = ["catalogue", "more"]

@@ -401,28 +401,19 @@ def patch_merge_other_wins(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_tables(*_both(spark, d), KEY).selectExpr(*OPS)
 
 
-@query(f"{D3} SELECT o_orderkey, path, greatest(d.new, e.new) AS new FROM d JOIN e USING (o_orderkey, path)")
+@query(f"{D3} SELECT o_orderkey, path, CASE WHEN path = '/o_custkey' THEN CAST(greatest(CAST(d.new AS bigint), CAST(e.new AS bigint)) AS varchar) ELSE greatest(d.new, e.new) END AS new FROM d JOIN e USING (o_orderkey, path)")
 def patch_merge_resolver(spark: SparkSession, d: str) -> DataFrame:
     x, y = _both(spark, d)
     return merge.merge_tables(x, y, KEY, merge.largest).join(x, [*KEY, "path"], "left_semi").join(y, [*KEY, "path"], "left_semi").select("o_orderkey", "path", "new")
 
 
-@query(f"""{duck('snap_a', 'snap_b', 'snap_c')} SELECT a.o_orderkey, CASE WHEN c.o_custkey <> a.o_custkey THEN c.o_custkey ELSE coalesce(b.o_custkey, a.o_custkey) END o_custkey,
-CASE WHEN c.o_orderstatus <> a.o_orderstatus THEN c.o_orderstatus ELSE coalesce(b.o_orderstatus, a.o_orderstatus) END o_orderstatus, CASE WHEN b.o_orderkey IS NULL THEN a.o_orderpriority ELSE b.o_orderpriority END o_orderpriority FROM snap_a a LEFT JOIN snap_b b ON a.o_orderkey = b.o_orderkey JOIN snap_c c ON a.o_orderkey = c.o_orderkey""")
-def three_way_merge(spark: SparkSession, d: str) -> DataFrame:
-    """The changes of fields only: rows that a side adds or removes are left as in the base; three_way_all_rows has them."""
-    a, b = _snapshots(spark, d)
-    merged = merge.merge_tables(diff.diff(a, b, KEY), diff.diff(a, view(spark, d, "snap_c"), KEY), KEY)
-    return apply.apply_table(a, merged.where("path <> '/'"), KEY).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-
-
 def _merged(c: str) -> str:
     return f"CASE WHEN a.o_orderkey IS NULL AND c.o_orderkey IS NULL OR a.o_orderkey IS NOT NULL AND c.{c} IS NOT DISTINCT FROM a.{c} THEN b.{c} ELSE c.{c} END {c}"
 
 
 @query(f"""{duck('snap_a', 'snap_b', 'snap_c')} SELECT o_orderkey, {', '.join(map(_merged, ('o_custkey', 'o_orderstatus', 'o_orderpriority')))} FROM snap_a a FULL JOIN snap_b b USING (o_orderkey) FULL JOIN snap_c c USING (o_orderkey)
 WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NOT NULL AND c.o_orderkey IS NOT NULL""")
-def three_way_all_rows(spark: SparkSession, d: str) -> DataFrame:
+def three_way_merge(spark: SparkSession, d: str) -> DataFrame:
     a, b = _snapshots(spark, d)
     return merge.three_way(a, b, view(spark, d, "snap_c"), KEY).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
 
@@ -441,28 +432,16 @@ def patch_summary(spark: SparkSession, d: str) -> DataFrame:
     return ops.render_table(diff.diff(*_snapshots(spark, d), KEY), KEY, "summary")
 
 
-@query(f"{SNAPS} SELECT * FROM snap_b WHERE o_orderkey IN (SELECT o_orderkey FROM snap_a)")
-def roundtrip_apply_diff(spark: SparkSession, d: str) -> DataFrame:
-    """apply(a, diff(a, b)) is b, here for the rows of both; roundtrip_all_rows has all."""
-    a, b = _snapshots(spark, d)
-    return apply.apply_writes(a, diff.diff(a, b, KEY), KEY).join(a.select(*KEY), KEY, "left_semi").select(*b.columns)
-
-
 @query(f"{SNAPS} SELECT * FROM snap_b")
-def roundtrip_all_rows(spark: SparkSession, d: str) -> DataFrame:
+def roundtrip_apply_diff(spark: SparkSession, d: str) -> DataFrame:
+    """apply(a, diff(a, b)) is b."""
     a, b = _snapshots(spark, d)
     return apply.apply_writes(a, diff.diff(a, b, KEY), KEY).select(*b.columns)
 
 
-@query(f"{SNAPS} SELECT * FROM snap_a WHERE o_orderkey IN (SELECT o_orderkey FROM snap_b)")
-def undo_redo(spark: SparkSession, d: str) -> DataFrame:
-    """apply(b, reverse(diff(a, b))) is a, here for the rows of both; undo_all_rows has all."""
-    a, b = _snapshots(spark, d)
-    return merge.undo(b, diff.diff(a, b, KEY).withColumn("version", F.lit(1)), KEY, "version").join(b.select(*KEY), KEY, "left_semi").select(*a.columns)
-
-
 @query(f"{SNAPS} SELECT * FROM snap_a")
-def undo_all_rows(spark: SparkSession, d: str) -> DataFrame:
+def undo_redo(spark: SparkSession, d: str) -> DataFrame:
+    """apply(b, reverse(diff(a, b))) is a."""
     a, b = _snapshots(spark, d)
     return merge.undo(b, diff.diff(a, b, KEY).withColumn("version", F.lit(1)), KEY, "version").select(*a.columns)
 
@@ -610,7 +589,7 @@ def text_merge_tombstones(spark: SparkSession, d: str) -> DataFrame:
     return text.render_text(text.merge_tombstones(runs.unionByName(other), ["conv_id"]), ["conv_id"])
 
 
-@query()
+@query("""SELECT conv_id, string_agg(CASE WHEN turn % 2 = 0 THEN '[' || turn || ']' ELSE '' END || CASE WHEN turn % 4 <> 3 THEN text ELSE '' END, '' ORDER BY turn) AS text FROM conversations GROUP BY 1""")
 def text_render_branching(spark: SparkSession, d: str) -> DataFrame:
     """Each even turn has a rival at the same place; the newer id comes first."""
     runs = text_runs(spark, d)
@@ -618,7 +597,7 @@ def text_render_branching(spark: SparkSession, d: str) -> DataFrame:
     return text.render_text(runs.unionByName(rival).drop("turn"), ["conv_id"])
 
 
-@query()
+@query("SELECT DISTINCT o_custkey, CASE WHEN o_custkey % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END AS n FROM orders")
 def edit_script_len(spark: SparkSession, d: str) -> DataFrame:
     a, b = status_lists(spark, d)
     both = a.withColumnRenamed("xs", "before").join(b.withColumnRenamed("xs", "after"), "o_custkey")
@@ -637,5 +616,4 @@ def stream_lww(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(rows.drop("file").schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     run = stream.writeStream.foreachBatch(deltas.upsert_to(f"{base}/state", ["user_id"])).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    last = run.lastProgress["batchId"]
-    return spark.read.schema(rows.drop("file").schema).parquet(f"{base}/state/v{last}").select("user_id", "path", "new")
+    return deltas.read_state(spark, f"{base}/state", ["user_id"], rows.drop("file").schema).select("user_id", "path", "new")

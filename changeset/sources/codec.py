@@ -14,7 +14,6 @@ from ..operators.ops import Operation, Patch, op_table
 KIND_NUMBERS = {"add": 0, "remove": 1, "replace": 2, "move": 3, "copy": 4, "log": 5}
 _NAMES = {v: k for k, v in KIND_NUMBERS.items()}
 
-_RAW = "array<struct<op:string,path:string,from:string,value:string,if:string,unless:string>>"
 
 
 # --- static patches, on the driver
@@ -54,6 +53,9 @@ def to_json_patch(patch: Patch) -> str:
     """RFC 6902 with the extensions if, unless, and a leading test on / that holds the guard; [] for an empty patch. Old values and strict are not carried."""
     out: list[dict] = [{"op": "test", "path": "/", "if": patch.guard.to_predicate()}] if patch.guard else []
     for o in patch.ops:
+        if o.kind == "custom":
+            out.append(o.wire())
+            continue
         row: dict = {"op": o.kind, "path": o.path}
         if o.kind in ("move", "copy"):
             row["from"] = o.from_path
@@ -93,6 +95,26 @@ def quoted(text: Column) -> Column:
     return F.when(text.isNotNull(), F.substring(whole, F.lit(2), F.length(whole) - 2))
 
 
+def _texts(text: Column, fields: dict[str, str], values: list[str]) -> Column:
+    """An array of JSON objects as structs of their members: fields by type, values as JSON text. A string type gives strings without
+    their quotes and all else as it stands, so the values are read once more as variants, which tell strings from the rest."""
+    plain = F.from_json(text, "array<struct<" + ",".join(f"`{n}`:{k}" for n, k in {**fields, **dict.fromkeys(values, "string")}.items()) + ">>")
+    kinds = F.from_json(text, "array<struct<" + ",".join(f"`{n}`:variant" for n in values) + ">>")
+    one = lambda x, y: F.struct(*[x[n].alias(n) for n in fields], *[F.when(F.schema_of_variant(y[n]) == "STRING", quoted(x[n])).otherwise(x[n]).alias(n) for n in values])
+    return F.zip_with(plain, kinds, one)
+
+
+def _native_rows(patches: DataFrame, keep: list[Column | str], ops: Column, strict: Column) -> DataFrame:
+    """keep and op rows of a native patch's ops text."""
+    x = _texts(ops, {"k": "int", "p": "string", "if": "string", "un": "string", "from": "string"}, ["o", "n"])
+    source = F.from_json(ops, "array<struct<o:string>>")
+    rows = patches.select(*keep, F.coalesce(strict, F.lit(False)).alias("strict"), F.posexplode(F.zip_with(x, source, lambda a, b: a.withField("from", b["o"]))).alias("seq", "x"))
+    kind = F.coalesce(*[F.when(F.col("x.k") == v, F.lit(k)) for k, v in KIND_NUMBERS.items()])
+    shift = kind.isin("move", "copy")
+    names = [c for c in rows.columns if c not in ("strict", "seq", "x")]
+    return rows.select(*names, "seq", kind.alias("kind"), F.col("x.p").alias("path"), F.when(shift, F.col("x.from")).alias("from_path"), F.when(~shift, F.col("x.o")).alias("old"), F.col("x.n").alias("new"), F.col("x.if").alias("if_cond"), F.col("x.un").alias("unless_cond"), "strict")
+
+
 def _documents(ops: DataFrame, key: list[str], member: Column, name: str) -> DataFrame:
     """key, name: each entity's members as a JSON array, by seq. An entity's patch is one value on the wire, so its ops are gathered."""
     rows = ops.select(*key, F.struct("seq", member.alias("m")).alias("x"))
@@ -111,16 +133,11 @@ def table_to_json_patch(ops: DataFrame, key: list[str]) -> DataFrame:
 def json_patch_to_table(patches: DataFrame, key: list[str], text: str = "patch") -> DataFrame:
     """Op rows of RFC 6902 texts; seq is the place in the text. A leading test on / becomes if_cond of no row but
     the column guard of all; unknown operations are skipped."""
-    # Raw members: a value of any type is read as its JSON text.
-    items = F.from_json(F.col(text), _RAW)
+    items = _texts(F.col(text), {"op": "string", "path": "string", "from": "string", "if": "string", "unless": "string"}, ["value"])
     guard = F.get(F.filter(items, lambda x: (x["op"] == "test") & x["path"].isin("/", "") & x["if"].isNotNull()), 0)["if"]
     rows = patches.select(*key, guard.alias("guard"), F.posexplode(items).alias("seq", "x")).where(F.col("x.op").isin(*KIND_NUMBERS))
-    raw = patches.select(*key, F.posexplode(F.from_json(text, "array<string>")).alias("seq", "raw"))
-    rows = rows.join(raw, [*key, "seq"])
-    # from_json gives strings without their quotes; whether there were any shows in the member's own text.
-    is_text = F.regexp_like("raw", F.lit(r'"value"\s*:\s*"'))
-    new = F.when(F.col("x.value").isNull(), F.lit(None).cast("string")).when(is_text, quoted(F.col("x.value"))).otherwise(F.col("x.value"))
-    return rows.select(*key, "seq", F.col("x.op").alias("kind"), F.col("x.path").alias("path"), F.col("x.from").alias("from_path"), F.lit(None).cast("string").alias("old"), new.alias("new"), F.col("x.if").alias("if_cond"), F.col("x.unless").alias("unless_cond"), F.lit(False).alias("strict"), "guard")
+    none = F.lit(None).cast("string")
+    return rows.select(*key, "seq", F.col("x.op").alias("kind"), F.col("x.path").alias("path"), F.col("x.from").alias("from_path"), none.alias("old"), F.col("x.value").alias("new"), F.col("x.if").alias("if_cond"), F.col("x.unless").alias("unless_cond"), F.lit(False).alias("strict"), "guard")
 
 
 def table_to_native(ops: DataFrame, key: list[str], guard: str | None = None) -> DataFrame:
@@ -137,14 +154,7 @@ def table_to_native(ops: DataFrame, key: list[str], guard: str | None = None) ->
 def native_to_table(patches: DataFrame, key: list[str], text: str = "patch") -> DataFrame:
     """Op rows of native texts."""
     head = F.from_json(F.col(text), "ops string, strict boolean")
-    raw = patches.select(*key, head["strict"].alias("strict"), F.posexplode(F.from_json(head["ops"], "array<string>")).alias("seq", "raw"))
-    x = F.from_json("raw", "k int, p string, o string, n string, if string, un string")
-    kind = F.coalesce(*[F.when(F.col("x.k") == v, F.lit(k)) for k, v in KIND_NUMBERS.items()])
-    shift = kind.isin("move", "copy")
-    was_text = lambda name: F.regexp_like("raw", F.lit(rf'"{name}"\s*:\s*"'))
-    again = lambda name: F.when(F.col(f"x.{name}").isNotNull(), F.when(was_text(name), quoted(F.col(f"x.{name}"))).otherwise(F.col(f"x.{name}")))
-    rows = raw.withColumn("x", x)
-    return rows.select(*key, "seq", kind.alias("kind"), F.col("x.p").alias("path"), F.when(shift, F.col("x.o")).alias("from_path"), F.when(~shift, again("o")).alias("old"), again("n").alias("new"), F.col("x.if").alias("if_cond"), F.col("x.un").alias("unless_cond"), F.coalesce("strict", F.lit(False)).alias("strict"))
+    return _native_rows(patches, key, head["ops"], head["strict"])
 
 
 STAMP = "struct<w:bigint,l:int,n:string>"
@@ -156,29 +166,34 @@ def deltas_to_json(patches: DataFrame, key: list[str], stamp: str = "hlc", patch
 
 
 def json_to_deltas(texts: DataFrame, keep: list[str], value: str = "value") -> DataFrame:
-    """keep, op rows and hlc of delta texts; works on streams."""
+    """keep, op rows (conditions, strict and sources of moves too) and hlc of delta texts; works on streams."""
     d = F.from_json(F.col(value), f"p struct<ops:string,strict:boolean>, t {STAMP}")
-    raw = texts.select(*keep, d["t"].alias("hlc"), F.posexplode(F.from_json(d["p"]["ops"], "array<string>")).alias("seq", "raw"))
-    x = F.from_json("raw", "k int, p string, o string, n string")
-    rows = raw.withColumn("x", x)
-    kind = F.coalesce(*[F.when(F.col("x.k") == v, F.lit(k)) for k, v in KIND_NUMBERS.items()])
-    return rows.select(*keep, "seq", kind.alias("kind"), F.col("x.p").alias("path"), F.col("x.o").alias("old"), F.col("x.n").alias("new"), "hlc")
+    return _native_rows(texts, [*keep, d["t"].alias("hlc")], d["p"]["ops"], d["p"]["strict"])
+
+
+def _member_text(name: Column, text: Column) -> Column:
+    return F.concat(quoted(name), F.lit(":"), text)
 
 
 def state_to_json(state: DataFrame, key: list[str], node: str) -> DataFrame:
     """key, snapshot: {value, clocks, tombstones, nodeID, latest} of each entity's replica state."""
     entries = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col("path").alias("key"), F.col(c).alias("value"))))))
-    values = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct(F.substring("path", 2, 1 << 30).alias("key"), F.col("value").cast("string").alias("value"))))))
+    # Values are JSON text already, so their object is put together as text.
+    values = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct(F.col("path").alias("key"), _member_text(F.substring("path", 2, 1 << 30), F.col("value").cast("string")).alias("m")))))
     latest = F.max(F.greatest("write_hlc", "tomb_hlc"))
     rows = state.groupBy(*key).agg(values.alias("value"), entries("write_hlc").alias("clocks"), entries("tomb_hlc").alias("tombstones"), latest.alias("latest"))
-    return rows.select(*key, F.to_json(F.struct("value", "clocks", "tombstones", F.lit(node).alias("nodeID"), "latest")).alias("snapshot"))
+    rest = F.to_json(F.struct("clocks", "tombstones", F.lit(node).alias("nodeID"), "latest"))
+    return rows.select(*key, F.concat(F.lit('{"value":{'), F.array_join("value.m", ","), F.lit("},"), F.substring(rest, 2, 1 << 30)).alias("snapshot"))
 
 
 def json_to_state(texts: DataFrame, key: list[str], text: str = "snapshot") -> DataFrame:
     """Replica state rows of snapshot texts."""
     x = F.from_json(F.col(text), f"value map<string,string>, clocks map<string,{STAMP}>, tombstones map<string,{STAMP}>")
-    wide = texts.select(*key, x.alias("x"))
+    kinds = F.from_json(F.col(text), "value map<string,variant>")["value"]
+    wide = texts.select(*key, x.alias("x"), F.transform_values(kinds, lambda _, v: F.schema_of_variant(v) == "STRING").alias("quoted"))
     paths = F.array_union(F.coalesce(F.map_keys("x.clocks"), F.array()), F.coalesce(F.map_keys("x.tombstones"), F.array()))
-    rows = wide.select(*key, "x", F.explode(paths).alias("path"))
-    at = lambda m, k: F.try_element_at(F.col(f"x.{m}"), k)
-    return rows.select(*key, "path", at("value", F.substring("path", 2, 1 << 30)).alias("value"), at("clocks", F.col("path")).alias("write_hlc"), at("tombstones", F.col("path")).alias("tomb_hlc"))
+    rows = wide.select(*key, "x", "quoted", F.explode(paths).alias("path"))
+    at = lambda m, k: F.try_element_at(F.col(m), k)
+    name = F.substring("path", 2, 1 << 30)
+    value = F.when(at("quoted", name), quoted(at("x.value", name))).otherwise(at("x.value", name))
+    return rows.select(*key, "path", value.alias("value"), at("x.clocks", F.col("path")).alias("write_hlc"), at("x.tombstones", F.col("path")).alias("tomb_hlc"))

@@ -79,15 +79,47 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
+#: Segments of one level that are merged into one of the next.
+FAN = 8
+
+
 def upsert_to(path: str, key: list[str]):
-    """A foreachBatch function that keeps the newest rows of all batches as a Parquet table at path, a version for each batch."""
+    """A foreachBatch function that keeps the newest rows of all batches at path; read_state reads them.
+
+    Each batch writes a segment of its own newest rows. FAN segments of a level are merged into one of the next, so a
+    row is written again once for each level and not for each batch. Segments are named by level and batch, so a
+    repeated batch writes the same ones; merged ones are deleted after their successor is complete, and reading both does no harm.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        target = f"{path}/v{batch_id}"
-        rows = batch
-        if batch_id:
-            rows = spark.read.schema(batch.schema).parquet(f"{path}/v{batch_id - 1}").unionByName(batch)
-        newest_ops(rows, key).select(*batch.columns).write.mode("overwrite").parquet(target)
+        newest_ops(batch, key).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/{_segment(0, batch_id)}")
+        level, width = 0, FAN
+        while (batch_id + 1) % width == 0:
+            old = [f"{path}/{_segment(level, i)}" for i in range(batch_id + 1 - width + width // FAN - 1, batch_id + 1, width // FAN)]
+            here = [p for p in old if _filesystem(spark, p).exists(_hadoop_path(spark, f"{p}/_SUCCESS"))]
+            if len(here) == len(old):
+                rows = spark.read.schema(batch.schema).parquet(*old)
+                newest_ops(rows, key).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/{_segment(level + 1, batch_id)}")
+            for p in here:
+                _filesystem(spark, p).delete(_hadoop_path(spark, p), True)
+            level, width = level + 1, width * FAN
 
     return write
+
+
+def _segment(level: int, batch_id: int) -> str:
+    return f"level{level}-batch{batch_id}"
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _filesystem(spark: SparkSession, path: str):
+    return _hadoop_path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_state(spark: SparkSession, path: str, key: list[str], schema: T.StructType) -> DataFrame:
+    """The newest rows of all segments that upsert_to wrote at path."""
+    return newest_ops(spark.read.schema(schema).parquet(f"{path}/level*"), key).select(*schema.names)

@@ -257,13 +257,22 @@ def test_merges_are_laws(spark):
     assert v.columns == ["id", "x", "y"]
 
 
+def common(a, b):
+    """Length of the longest common subsequence, by the table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = list(itertools.accumulate(range(len(b)), lambda left, j, x=x, old=row: old[j] + 1 if x == b[j] else max(left, old[j + 1]), initial=0))
+    return row[-1]
+
+
 def test_edit_scripts(spark):
     rng = random.Random(5)
     for _ in range(300):
         a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 8))] for _ in range(2))
         s = edit_script.shortest(a, b)
-        assert edit_script.run_script(a, s) == b
-    assert edit_script.shortest(list("abc"), list("xyz"), 2) is None
+        assert edit_script.run_script(a, s) == b and len(s) == len(a) + len(b) - 2 * common(a, b)
+    far = edit_script.shortest(list(range(700)), list(range(5000, 5700)))
+    assert len(far) == 1400 and edit_script.run_script(list(range(700)), far) == list(range(5000, 5700))
     df = spark.createDataFrame([(1, ["a", "b"], ["b", "c"]), (2, None, ["x"]), (3, ["s"], ["s"])], "id long, x array<string>, y array<string>")
     got = {r["id"]: [tuple(e) for e in r["script"]] for r in edit_script.edit_scripts(df, ["id"], "x", "y").collect()}
     assert got == {1: [("remove", 0, "a", None), ("add", 1, None, "c")], 2: [("add", 0, None, "x")], 3: []}
@@ -383,3 +392,47 @@ def test_rows_are_inserted_and_deleted(spark):
     for f in (apply.apply_writes, apply.apply_table):
         got = {r["id"]: r for r in f(a, late, ["id"]).collect()}
         assert set(got) == {1, 3, 9} and (got[9]["s"], got[9]["n"], got[9]["status"]) == ("new", 2.5, "ok")
+
+
+def test_state_segments(spark, tmp_path):
+    """Segments are merged level by level; a repeated batch, or one that was cut off after merging, changes nothing."""
+    from changeset.streaming import deltas
+
+    kinds = "id long, path string, kind string, new string, hlc struct<w:long,l:int,n:string>"
+    rng = random.Random(2)
+    write, rows = deltas.upsert_to(str(tmp_path / "s"), ["id"]), []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(deltas, "FAN", 3)
+        for batch in range(11):
+            new = [(rng.randint(0, 4), rng.choice(["/a", "/b"]), "replace", str(batch), (rng.randint(0, 50), batch, "n")) for _ in range(3)]
+            rows += new
+            for _ in range(2 if batch in (2, 8) else 1):
+                write(spark.createDataFrame(new, kinds), batch)
+    left = sorted(p.name for p in (tmp_path / "s").iterdir())
+    assert left == ["level0-batch10", "level0-batch9", "level2-batch8"]
+    schema = spark.createDataFrame([], kinds).schema
+    got = sorted(map(str, deltas.read_state(spark, str(tmp_path / "s"), ["id"], schema).collect()))
+    assert got == sorted(map(str, deltas.newest_ops(spark.createDataFrame(rows, kinds), ["id"]).select(*schema.names).collect()))
+
+
+def test_custom_operations(spark):
+    from changeset.operators import custom
+
+    class Twice:
+        def apply(self, current):
+            return current * 2
+
+        def resolve(self, current, proposed):
+            return F.least(proposed, F.lit(7))
+
+        def to_json(self):
+            return {"times": 2}
+
+    p = ops.Patch((custom.custom("/n", Twice()),))
+    df = spark.createDataFrame([(1, 3), (2, 5)], "id long, n long")
+    assert {r["id"]: r["n"] for r in apply.apply_static(df, p).collect()} == {1: 6, 2: 7}
+    assert str(p) == "Custom /n" and json.loads(codec.to_json_patch(p)) == [{"op": "custom", "path": "/n", "value": {"times": 2}}]
+    with pytest.raises(ValueError):
+        p.reverse()
+    with pytest.raises(ValueError):
+        p.to_table(spark)
