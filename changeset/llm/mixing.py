@@ -16,9 +16,9 @@ POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 BUDGET = 0.5
 #: Up to so many cells (source x language x topic) the fit runs on the driver; beyond, the same rounds run on DataFrames.
 DRIVER_CELLS = 100_000
-#: The fit ends with the first round whose marginals were all so close to their goals (as shares of all tokens). One that
-#: isn't so close after ROUNDS has targets that can't all be met at once; that is told by a warning.
-ROUNDS, CLOSE = 400, 1e-9
+#: The fit ends with the first round whose marginals were all so close to their goals (as shares of all tokens), or which
+#: came no closer than the one before. Goals missed by more than MISSED contradict each other; that is told by a warning.
+ROUNDS, CLOSE, MISSED = 400, 1e-9, 1e-7
 #: The factor of a value that has to give (this share of) all it has, and the end of one that grows because others keep it from its goal.
 MOST_FACTOR, WHOLE = 1e12, 1 - 1e-12
 
@@ -59,10 +59,10 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], b
     those, and the others are scaled to what is left of the goal.
     """
     most = [np.bincount(c, tokens, len(g)) for c, g in zip(codes, goals, strict=True)]
-    factors, off = [np.where(g >= m * WHOLE, MOST_FACTOR, 1.0) for g, m in zip(goals, most, strict=True)], 0.0
+    factors, off = [np.where(g >= m * WHOLE, MOST_FACTOR, 1.0) for g, m in zip(goals, most, strict=True)], 1.0
     ratio = lambda: budget * np.prod([f[c] for f, c in zip(factors, codes, strict=True)], axis=0)
     for _ in range(ROUNDS):
-        off = 0.0
+        before, off = off, 0.0
         for k, (code, goal) in enumerate(zip(codes, goals, strict=True)):
             r = ratio()
             full, part = np.bincount(code, tokens * (r >= 1), len(goal)), np.bincount(code, np.where(r < 1, tokens * r, 0), len(goal))
@@ -70,7 +70,7 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], b
             with np.errstate(divide="ignore", invalid="ignore"):
                 step = np.where(goal > full, np.where(part > 0, (goal - full) / part, 1.0), np.where(full + part > 0, goal / (full + part), 0.0))
             factors[k] = np.where(goal >= most[k] * WHOLE, MOST_FACTOR, np.minimum(factors[k] * step, MOST_FACTOR))
-        if off < CLOSE:
+        if off < CLOSE or abs(before - off) < CLOSE:
             break
     return np.minimum(1.0, ratio()), off
 
@@ -126,9 +126,9 @@ def _fit_far(cells: DataFrame, dims: list[str], targets: dict[str, dict] | None,
             now, ratio = now.join(factors[d], d), ratio * F.col(f"_{d}")
         return now.select(*dims, "n_tokens", F.least(F.lit(1.0), ratio).alias("p"))
 
-    off = 0.0
+    off = 1.0
     for _ in range(ROUNDS):
-        off, old = 0.0, []
+        before, off, old = off, 0.0, []
         for d in dims:
             held = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n_tokens") * F.col("p"))), F.lit(0.0)) / F.lit(total)
             have = chances().groupBy(d).agg(held(F.col("p") >= 1).alias("full"), held(F.col("p") < 1).alias("part")).join(goals[d], d).join(factors[d], d)
@@ -139,7 +139,7 @@ def _fit_far(cells: DataFrame, dims: list[str], targets: dict[str, dict] | None,
             old.append(factors[d])
             factors[d] = have.drop("off")
         release(*old)
-        if off < CLOSE:
+        if off < CLOSE or abs(before - off) < CLOSE:
             break
     return materialize(chances().drop("n_tokens"), "cells"), off
 
@@ -187,7 +187,7 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float =
         chances = F.broadcast(spark.createDataFrame([(*(r[d] for d in dims), float(x)) for r, x in zip(rows, p, strict=True)], "source string, lang string, topic string, p double"))
     else:
         chances = spark.createDataFrame([], "source string, lang string, topic string, p double")
-    if off >= CLOSE:
-        warnings.warn(f"the targets contradict each other: after {ROUNDS} rounds a marginal is off by {off:.2g} of all tokens", stacklevel=2)
+    if off > MISSED:
+        warnings.warn(f"the targets contradict each other: a marginal is off by {off:.2g} of all tokens", stacklevel=2)
     out = own.join(chances, dims, "left").withColumn("p", F.when(F.col("n_tokens") > 0, F.coalesce("p", F.lit(0.0))).otherwise(0.0))
     return out.select("doc_id", *dims, "n_tokens", "p", (F.col("draw") < F.col("p")).alias("sampled"), *[f"kept.{k}" for k in keep])
