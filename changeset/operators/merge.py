@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .apply import apply_table
 from .diff import diff
@@ -74,10 +75,25 @@ def three_way(base: DataFrame, mine: DataFrame, theirs: DataFrame, key: list[str
     Rows that a side adds come, with theirs (or the resolver's text) where both add one; rows that a side removes
     go, whatever the other side changed in them.
     """
+    fields = [f for f in base.schema if f.name not in key]
+    if resolver is None and not any(isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType)) for f in fields):
+        return _three_way_fields(base, mine, theirs, key, [f.name for f in fields])
     merged = merge_tables(diff(base, mine, key), diff(base, theirs, key), key, resolver)
     return apply_table(base, merged, key)
 
 
+def _three_way_fields(base: DataFrame, mine: DataFrame, theirs: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """The same where fields are single values: each table is read once, and an entity's three rows meet in one aggregate."""
+    side = lambda df, n: df.select(*key, F.lit(n).alias("_side"), F.struct(*[F.col(f"`{f}`").alias(f) for f in fields]).alias("_row"))
+    rows = side(base, 0).unionByName(side(mine, 1)).unionByName(side(theirs, 2))
+    met = rows.groupBy(*key).agg(*[F.max(F.when(F.col("_side") == n, F.col("_row"))).alias(c) for n, c in enumerate(("_a", "_b", "_c"))])
+    a, b, c = (F.col(x) for x in ("_a", "_b", "_c"))
+    left = met.where(F.when(a.isNull(), F.lit(True)).otherwise(b.isNotNull() & c.isNotNull()))
+    theirs_new = lambda f: F.when(a.isNull(), c.isNotNull()).otherwise(~c[f].eqNullSafe(a[f]))
+    none = F.array().cast("array<string>")
+    return left.select(*key, *[F.when(theirs_new(f), c[f]).otherwise(b[f]).alias(f) for f in fields], F.lit("ok").alias("status"), none.alias("errors"))
+
+
 def undo(state: DataFrame, history: DataFrame, key: list[str], version: str) -> DataFrame:
     """The state before the patches in history (op rows with a version), the latest undone first."""
     from .ops import reverse_table

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -36,9 +37,11 @@ def require_key(df: DataFrame, key: list[str]) -> None:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder name below spark.checkpoint.dir, which all executors share; below a temporary folder where that is unset (local runs)."""
+    """A new folder name below spark.checkpoint.dir, which all executors share; where that is unset and executors are in this process, below a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="changeset-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

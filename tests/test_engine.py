@@ -198,6 +198,22 @@ def test_merge(spark):
     assert one["/a"] == "2"
 
 
+def test_three_way_by_fields(spark):
+    """Tables of single values take one aggregate; the rows are those of the patches merged and applied."""
+    rng = random.Random(7)
+    some = lambda: rng.choice([None, 1.0, 2.0, float("nan")])
+    a = {k: (some(), rng.choice("xyz")) for k in range(60)}
+    sides = []
+    for _ in range(2):
+        rows = {k: v if rng.random() < 0.5 else (some(), rng.choice("xyz")) for k, v in a.items() if rng.random() < 0.9}
+        sides.append(rows | {k: (some(), "new") for k in range(60, 70) if rng.random() < 0.5})
+    frame = lambda rows: spark.createDataFrame([(k, *v) for k, v in rows.items()], "id long, n double, s string")
+    base, mine, theirs = frame(a), frame(sides[0]), frame(sides[1])
+    merged = merge.merge_tables(diff.diff(base, mine, ["id"]), diff.diff(base, theirs, ["id"]), ["id"])
+    shown = lambda df: sorted(map(str, df.collect()))
+    assert shown(merge.three_way(base, mine, theirs, ["id"])) == shown(apply.apply_table(base, merged, ["id"]))
+
+
 def test_wire_formats(spark):
     p = ops.Patch((ops.set_("/a", {"x": [1, "é"]}, old=None), ops.add("/b", "t").when(C.eq("/a", 1)), ops.remove("/c", old=2).except_when(C.exists("/d")), ops.move("/e", "/f"), ops.copy("/g", "/h"), ops.log("m")), C.gt("/n", 1), True)
     assert codec.from_native(codec.to_native(p)) == p
