@@ -19,8 +19,8 @@ SHINGLE = 5
 KEEP = 40
 #: The estimate from 40 hashes deviates by 0.063 at 0.8; a pair is passed on from five and a half deviations below.
 SLACK = 0.35
-#: Members of a list are compared in blocks of about so many hashes.
-BLOCK_HASHES = 1 << 17
+#: Members of a list are estimated in blocks of about so many, and compared in blocks of about so many hashes.
+BLOCK_MEMBERS, BLOCK_HASHES = 400, 1 << 17
 #: Rounds in which the members of a list are compared with one of them, before any two are.
 STARS = 2
 
@@ -107,9 +107,45 @@ def _estimates(own: np.ndarray, theirs: np.ndarray, sizes: np.ndarray) -> np.nda
     return seen / np.minimum(KEEP, len(own) + sizes - common[:, -1])
 
 
+def _near_members(key: int, mine: dict, theirs: dict) -> set[bytes]:
+    """Members of two blocks of one list that have a partner in the other: of another component, with a size and an estimate that
+    allow the similarity, and met here and in no other list, as this key is the smallest of those that both are listed under."""
+    out: set[bytes] = set()
+    for k, (sd, comp, n) in enumerate(zip(mine["sd"], mine["comp"], mine["n"], strict=True)):
+        fits = (theirs["comp"] != comp) & (100 * np.minimum(theirs["n"], n) >= 80 * np.maximum(theirs["n"], n))
+        if not fits.any():
+            continue
+        at = np.flatnonzero(fits)
+        keys = theirs["keys"][at]
+        both = np.isin(keys, mine["keys"][k][: mine["n_keys"][k]]) & (np.arange(keys.shape[1]) < theirs["n_keys"][at][:, None])
+        at = at[keys[np.arange(len(at)), both.argmax(1)] == key]
+        if len(at):
+            at = at[_estimates(mine["sketch"][k][: mine["short"][k]], theirs["sketch"][at], theirs["short"][at]) >= 0.8 - SLACK]
+        if len(at):
+            out.add(sd)
+            out.update(theirs["sd"][j] for j in at.tolist())
+    return out
+
+
+def _block_of(rows: list[dict]) -> dict:
+    """Members of a block (sd, comp, n, sketch, keys), column by column; comp by a hash, keys ascending."""
+
+    def table(name: str) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(r[name]) for r in rows])
+        out = np.zeros((len(rows), max(int(sizes.max()), 1)), np.int64)
+        for i, r in enumerate(rows):
+            out[i, : sizes[i]] = np.sort(r[name]) if name == "keys" else r[name]
+        return out, sizes
+
+    sketch, short = table("sketch")
+    keys, n_keys = table("keys")
+    comp = np.array([xxhash.xxh3_64_intdigest(r["comp"]) for r in rows], np.uint64)
+    return {"sd": [r["sd"] for r in rows], "comp": comp, "n": np.array([r["n"] for r in rows]), "sketch": sketch, "short": short, "keys": keys, "n_keys": n_keys}
+
+
 def _linked(mine: list[tuple[bytes, bytes, np.ndarray]], theirs: list[tuple[bytes, bytes, np.ndarray]]) -> list[tuple[bytes, bytes]]:
     """Of the links between two blocks of sets (name, component, hashes), as many as join what they join: at most one
-    less than there are sets. Sizes and union sketches tell which pairs are compared exactly."""
+    less than there are sets."""
     parent: dict[bytes, bytes] = {}
 
     def root(x: bytes) -> bytes:
@@ -118,36 +154,44 @@ def _linked(mine: list[tuple[bytes, bytes, np.ndarray]], theirs: list[tuple[byte
         return x
 
     sizes = np.array([len(v) for _, _, v in theirs])
-    short = np.minimum(sizes, KEEP)
-    sketches = np.zeros((len(theirs), KEEP), np.int64)
-    for k, (_, _, v) in enumerate(theirs):
-        sketches[k, : short[k]] = v[:KEEP]
     values = np.concatenate([v for _, _, v in theirs])
     order = np.argsort(values, kind="stable")
     values, owner = values[order], np.repeat(np.arange(len(theirs)), sizes)[order]
     out = []
     for name, comp, own in mine:
-        maybe = (100 * np.minimum(sizes, len(own)) >= 80 * np.maximum(sizes, len(own))) & (_estimates(own[:KEEP], sketches, short) >= 0.8 - SLACK)
-        maybe = [j for j in np.flatnonzero(maybe).tolist() if root(comp) != root(theirs[j][1])]
-        if not maybe:
-            continue
         low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
         count = high - low
         at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
         shared = np.bincount(owner[at], minlength=len(theirs))
-        for j in maybe:
+        for j in np.flatnonzero(100 * shared >= 80 * (len(own) + sizes - shared)).tolist():
             x, y = root(comp), root(theirs[j][1])
-            if x != y and 100 * shared[j] >= 80 * (len(own) + sizes[j] - shared[j]):
+            if x != y:
                 parent[max(x, y)] = min(x, y)
                 out.append((name, theirs[j][0]))
     return out
 
 
-def _block_links(now: DataFrame, sets: DataFrame) -> DataFrame:
+def _in_blocks(members: DataFrame, lists: DataFrame, fields: list[str]) -> DataFrame:
+    """key, i, j, x, y for each two blocks of a list (key, blocks): the members (key, sd and fields) dealt into blocks of bounded size."""
+    dealt = members.join(lists, "key").withColumn("i", F.pmod(F.xxhash64("sd"), F.col("blocks")).cast("int"))
+    blocks = materialize(dealt.groupBy("key", "blocks", "i").agg(F.collect_list(F.struct("sd", *fields)).alias("x")), "blocks")
+    left = blocks.select("key", "i", "x", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
+    return left.join(blocks.select("key", F.col("i").alias("j"), F.col("x").alias("y")), ["key", "j"]).select("key", "i", "j", "x", "y")
+
+
+def _block_links(now: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members of one list (key, sd, n, comp) that lie in different components. A list's members are dealt
-    into blocks of bounded size; each two blocks of one list are one row."""
+    into blocks of bounded size, and each two blocks of one list are one row. Sizes and union sketches first tell which
+    members have a partner; those are then compared on full sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, i, j, x, y in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "x", "y")), strict=True):
+                block = _block_of(x)
+                found = sorted(_near_members(key, block, block if i == j else _block_of(y)))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array(found, pa.binary())], ["key", "sd"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, x, y in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "x", "y")), strict=True):
                 blocks = [[(d["sd"], d["comp"], np.frombuffer(d["items"], np.int64)) for d in side] for side in (x, y)]
@@ -155,13 +199,14 @@ def _block_links(now: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     # Two members have met already: one of them was the other's centre.
-    lists = now.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("p"), F.max("comp").alias("q"), F.ceil(F.sum("n") / BLOCK_HASHES).cast("int").alias("blocks"))
+    lists = now.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("p"), F.max("comp").alias("q"), F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
     lists = materialize(lists.where("c > 2 and p <> q").select("key", "blocks"), "lists")
-    members = now.join(lists, "key").join(sets, "sd").withColumn("i", F.pmod(F.xxhash64("sd"), F.col("blocks")).cast("int"))
-    blocks = materialize(members.groupBy("key", "blocks", "i").agg(F.collect_list(F.struct("sd", "comp", "items")).alias("x")), "blocks")
-    left = blocks.select("key", "i", "x", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
-    pairs = left.join(blocks.select("key", F.col("i").alias("j"), F.col("x").alias("y")), ["key", "j"]).select("i", "j", "x", "y")
-    return arrow_map(pairs, run, "a binary, b binary").distinct()
+    keys = now.groupBy("sd").agg(F.collect_list("key").alias("keys"))  # at most KEEP
+    members = now.join(lists.select("key"), "key", "left_semi").join(keys.join(nodes.select("sd", "sketch"), "sd"), "sd")
+    near = materialize(arrow_map(_in_blocks(members, lists, ["comp", "n", "sketch", "keys"]), estimate, "key long, sd binary").distinct(), "near")
+    some = materialize(now.join(near, ["key", "sd"]), "near")
+    lists = materialize(some.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_HASHES).cast("int").alias("blocks")), "lists")
+    return arrow_map(_in_blocks(some.join(sets, "sd"), lists, ["comp", "items"]), compare, "a binary, b binary").distinct()
 
 
 def _inverted(nodes: DataFrame) -> DataFrame:
@@ -210,7 +255,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, texts: bool = False) -> DataFr
                 pairs = centre.join(now.select("key", F.col("sd").alias("b"), F.col("comp").alias("cb")), "key").where("ca <> cb")
                 found = _verified(materialize(_estimated(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes), "pairs"), sets)
             else:
-                found = _block_links(now, sets)
+                found = _block_links(now, nodes, sets)
             links = materialize(found if links is None else links.unionByName(found), "links")
             comps = connected_components(links)
     more = ["td", "root"] if texts else []

@@ -89,6 +89,7 @@ def test_near_duplicates_through_rounds(spark, monkeypatch, stars, block):
     """Chains of edits: neighbours are linked, ends are not; stars alone don't join them."""
     monkeypatch.setattr(near_dedup, "STARS", stars)
     monkeypatch.setattr(near_dedup, "BLOCK_HASHES", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 7 if block < 9999 else 400)
     base = [f"k{i}" for i in range(120)]
     rows = []
     for g in range(3):
@@ -119,7 +120,7 @@ def test_near_duplicates_with_chained_passages(spark, monkeypatch):
     made = []
     once = near_dedup._block_links
     work = lambda df: df.groupBy("key").count().selectExpr("sum(count * count) as n").first()["n"] or 0
-    monkeypatch.setattr(near_dedup, "_block_links", lambda now, sets: made.append(work(now)) or once(now, sets))
+    monkeypatch.setattr(near_dedup, "_block_links", lambda now, nodes, sets: made.append(work(now)) or once(now, nodes, sets))
     for passages in (6, 24):
         rows = chained(passages)
         got = sorted((tuple(r) for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()), key=str)
@@ -452,9 +453,9 @@ def test_mix_meets_targets(docs, odd, empty, spark):
     tokens = np.array([0.4, 0.3, 0.2, 0.1])
     codes, goals = [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])], [np.array([0.25, 0.25]), np.array([0.2, 0.3])]
     p, off = mixing.rake(tokens, codes, goals, 0.5)
-    assert off < mixing.CLOSE
+    assert off < mixing.MISSED
     for c, g in zip(codes, goals, strict=True):
-        assert np.allclose(np.bincount(c, p * tokens), g)
+        assert np.allclose(np.bincount(c, p * tokens), g, atol=1e-7)
     assert np.allclose(mixing.reachable(np.array([0.2, 0.2, 0.1]), np.array([0.05, 0.9, 0.1])), [0.05, 0.35, 0.1])
     far, near = (sorted((r["doc_id"], r["p"]) for r in mixing.mix(docs, driver_cells=k).collect()) for k in (1, 100_000))
     assert np.allclose([p for _, p in far], [p for _, p in near], rtol=0, atol=1e-6)
@@ -474,14 +475,21 @@ def test_mix_tells_contradicting_targets(spark):
         mixing.mix(df, targets={"source": {"a": 0.8, "b": 0.2}, "lang": {"en": 0.5, "fr": 0.5}}, topic=F.lit("x")).collect()
 
 
-def test_mix_far_fit_converges(spark):
-    """Many mostly one-language sources: twelve rounds are far from enough, and both paths end alike."""
+def test_mix_far_fit_goes_the_same_rounds(spark, monkeypatch):
+    """Many mostly one-language sources, whose targets contradict each other: after any round both paths are alike, and the fit ends."""
     cells = [(i, i % 4, 40 + i * i * 7 % 160 + 400 * (i % 4 == 0)) for i in range(24)] + [(i, (i + 1) % 4, 20 + i % 5) for i in range(0, 24, 2)]
     df = spark.createDataFrame([(n, "w " * c, f"l{b}", f"s{a}") for n, (a, b, c) in enumerate(cells)], "doc_id long, text string, lang string, source string")
-    near, far = (np.array([r["p"] for r in mixing.mix(df, topic=F.lit("x"), driver_cells=k).orderBy("doc_id").collect()]) for k in (100, 1))
-    assert np.allclose(far, near, rtol=0, atol=1e-6)
-    have, most = marginals(mixing.mix(df, topic=F.lit("x")).collect())
-    assert max(abs(have[k] - g) for k, g in goals_of(most, {}, mixing.BUDGET).items()) < 1e-6
+    for rounds in (1, 4):
+        monkeypatch.setattr(mixing, "ROUNDS", rounds)
+        with pytest.warns(UserWarning, match="contradict"):
+            near, far = (np.array([r["p"] for r in mixing.mix(df, topic=F.lit("x"), driver_cells=k).orderBy("doc_id").collect()]) for k in (100, 1))
+        assert np.allclose(far, near, rtol=0, atol=1e-9)
+    monkeypatch.setattr(mixing, "ROUNDS", 10_000)
+    tokens, codes = np.array([float(c[2]) for c in cells]) / sum(c[2] for c in cells), [np.array([c[k] for c in cells]) for k in (0, 1)]
+    goals = [0.5 * mixing.targets_of(np.bincount(c, tokens), mixing.POWERS[d]) for c, d in zip(codes, ("source", "lang"), strict=True)]
+    began = time.perf_counter()
+    p, off = mixing.rake(tokens, codes, goals, 0.5)
+    assert mixing.MISSED < off < 0.05 and time.perf_counter() - began < 1
 
 
 def plain(t):
