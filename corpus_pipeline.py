@@ -16,13 +16,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, without their failing lines; n_chars follows the text."""
+    """Documents that pass, without their failing lines; n_chars follows the text. Null, empty and short texts fail;
+    a null id is handed on, repeated rows are judged alike, other columns are left out, an empty table gives no rows."""
     judged = quality.judge_documents(docs, ["doc_id", "lang", "source"]).where("kept")
     return judged.select("doc_id", F.col("text_left").alias("text"), "lang", "source", F.length("text_left").cast("long").alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates. Documents without words are each their own group;
+    """One document of each group of near-duplicates: shingles of five words, similarity 0.8. Documents without words are each their own group;
     of its rows with the kept id one stays, and rows without an id stay, as no group can name them.
     Rows are told apart by id and text, so each group keeps one where an id is repeated with other texts."""
     kept = near_dedup.classes(docs, texts=True).where("kept").groupBy("doc_id", "root").agg(F.min("td").alias("td")).select("doc_id", "td")
@@ -31,21 +32,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that occur anywhere else; those of which nothing is left go."""
+    """Documents without the passages that occur anywhere else; those of which nothing is left go. Texts without words have no
+    passage and stay, as do null ids; of repeated rows each loses what the other has."""
     cut = substring_dedup.dedup_substrings(docs, keep=["lang", "source"])
     left = cut.where("n_removed = 0 or n_removed < n_words")
     return left.select("doc_id", F.col("text_left").alias("text"), "lang", "source", F.length("text_left").cast("long").alias("n_chars"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage; null and empty texts hold none. Repeated rows stay or go together."""
     texts = docs.select(digest(F.col("text")).alias("td"), "text")
     found = decontaminate.leaks(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("td").distinct()
     return docs.withColumn("td", digest(F.col("text"))).join(found, "td", "left_anti").select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn, with topic, number of words and the probability of being drawn."""
+    """The documents drawn, with topic, number of words and the probability of being drawn. Texts without words are not drawn."""
     return mixing.mix(docs, keep=["text", "n_chars"]).where("sampled").drop("sampled")
 
 
