@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, chunks
+from .common import arrow_map, checked_keep, chunks
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Last characters of a line that is a sentence.
@@ -87,9 +87,11 @@ def judge_documents(docs: DataFrame, keep: list[str], text_col: str = "text") ->
     rejected. Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, words_left, text_left (the text without its failing lines; unchanged if none
     fails). Null and empty texts have no words, so they fail; lines without a word are left alone.
-    Repeated rows are judged alike; an empty table gives no rows.
+    Very long texts are judged whole. Repeated rows are judged alike; other columns play no part; a name in keep that is also
+    one of the result's is an error; an empty table gives no rows.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left", "text_left"]
+    keep = checked_keep(keep, names)
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
