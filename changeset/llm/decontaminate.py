@@ -82,25 +82,31 @@ def leaks(texts: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataF
     items = materialize(benchmark.select("item_id", plain_words(F.col("text")).alias("words")).where("size(words) > 0").select("item_id", "words", F.size("words").alias("n"), F.least(F.size("words"), F.lit(SHINGLE)).alias("k")).distinct(), "items")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most SHINGLE of them
     arrays = items.select("item_id", "n", "k", F.coalesce(*[F.when(F.col("k") == k, shingles(F.col("words"), k)) for k in sizes] or [F.array().cast("array<bigint>")]).alias("sh"))
-    item_rows = materialize(arrays.select("item_id", "n", "k", F.posexplode("sh").alias("at", "h")), "items")
+    item_rows = materialize(arrays.select("item_id", "n", "k", F.posexplode_outer("sh").alias("at", "h")).where("h is not null"), "items")
     wanted = materialize(item_rows.select("k", "n", "h").distinct(), "items")
     few = F.broadcast if wanted.count() <= BROADCAST_SHINGLES else lambda x: x
     hit = None
     words = texts.select("td", plain_words(F.col("text")).alias("words"))
     for k in sizes:
-        ours = words.select("td", F.size("words").alias("n_words"), F.posexplode(shingles(F.col("words"), k)).alias("pos", "h"))
+        # The words end before the explosion, which copies what it hands on into every row. An inner explosion would have the
+        # optimizer test the array's size on the text, with the words cut out again for every shingle.
+        ours = words.select("td", F.size("words").alias("n_words"), shingles(F.col("words"), k).alias("sh")).select("td", "n_words", F.posexplode_outer("sh").alias("pos", "h")).where("h is not null")
         one = ours.join(few(wanted.where(F.col("k") == k).drop("k")), "h").select("td", F.lit(k).alias("k"), "n", "n_words", "pos").distinct()
         hit = one if hit is None else hit.unionByName(one)
     if hit is None:
         return texts.select("td", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0).alias("distance"), F.lit(0.0).alias("similarity")).where("false")
     places = hit.groupBy("td", "k", "n", "n_words").agg(F.array_sort(F.collect_list("pos")).alias("at"))
-    hit = materialize(places.select("td", "k", "n", F.explode(_starts(least)).alias("start")), "windows")
+    hit = materialize(places.select("td", "k", "n", F.explode_outer(_starts(least)).alias("start")).where("start is not null"), "windows")
     # Of a text that has a hit, one copy; the partial aggregate takes most copies before the shuffle.
     found = texts.join(hit.select("td").distinct(), "td", "left_semi").groupBy("td").agg(F.first("text").alias("text"))
+    # A text's windows go to it as one row for each length, so that its shingles are not copied for every window.
+    wide = hit.groupBy("td", "n", "k").agg(F.collect_list("start").alias("starts"))
     cut = None
     for k in sizes:
         arr = found.select("td", plain_words(F.col("text")).alias("words")).select("td", shingles(F.col("words"), k).alias("sh"))
-        one = arr.join(hit.where(F.col("k") == k), "td").select("td", "n", "k", "start", F.explode(F.slice("sh", F.col("start") + 1, F.col("n") - (k - 1))).alias("h"))
+        size = F.col("n") - (k - 1)
+        window = F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("sh", s + 1, size).alias("sh")))  # noqa: B023
+        one = arr.join(wide.where(F.col("k") == k), "td").select("td", "n", "k", F.explode_outer(window).alias("w")).select("td", "n", "k", "w.start", F.explode_outer("w.sh").alias("h")).where("h is not null")
         cut = one if cut is None else cut.unionByName(one)
     key = ["td", "n", "k", "start"]
     cut = materialize(cut, "windows")
