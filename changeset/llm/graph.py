@@ -16,6 +16,11 @@ def _pairs(*columns: tuple[str, str]) -> Column:
     return F.inline(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in columns]))
 
 
+def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """The rows (u, v) beside their node's minimum (u, m). With a written minimum, a node's rows may be split over tasks."""
+    return rows.join(least, "u")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) edges -> (node, root) for every node with an edge to another; root is the smallest node reached.
 
@@ -44,8 +49,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
         both = (now.coalesce(1) if small else now).select(_pairs(("u", "v"), ("v", "u")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = written(_with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = written(large.groupBy("u").agg(F.min("v").alias("m")))
-        now = materialize(large.join(low, "u").select(_pairs(("v", "m"), ("u", "m"))).where("u <> v").distinct(), "edges")
+        now = materialize(_with_least(large, low).select(_pairs(("v", "m"), ("u", "m"))).where("u <> v").distinct(), "edges")
         release(*done)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

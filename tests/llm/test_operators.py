@@ -532,8 +532,10 @@ def test_leaks_match_brute_force(spark, docs, odd, empty):
     assert decontaminate.contaminated(empty, own).count() == 0 and decontaminate.contaminated(small, own.where("false")).count() == 0
 
 
-def test_leaks_with_moved_parts(spark):
+@pytest.mark.parametrize("broadcast", [0, decontaminate.BROADCAST_SHINGLES])
+def test_leaks_with_moved_parts(spark, monkeypatch, broadcast):
     """Shared shingles at other places than the item's: swapped parts, and cut ends with an insertion."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", broadcast)
     rng = np.random.default_rng(3)
     a, b = [f"v{i}" for i in range(60)], [f"u{i}" for i in range(200)]
     pad = [f"p{i}" for i in range(90)]
@@ -550,6 +552,16 @@ def test_leaks_with_moved_parts(spark):
     assert {(0, 1), (1, 1), (2, 2), (3, 2)} <= {(r["doc_id"], r["item_id"]) for r in got}
 
 
+def test_leaks_of_a_repeated_passage(spark):
+    """Every place of the passage has its windows, with their similarities."""
+    words = [f"w{i * 7919 % 1003}" for i in range(2500)]
+    item = words[1994:2054]
+    texts = spark.createDataFrame([(b"t", " ".join(words))], "td binary, text string")
+    got = {r["start"]: r["similarity"] for r in decontaminate.leaks(texts, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    want = {at + k: (56 - abs(k)) / (56 + abs(k)) for at in (991, 1994) for k in range(-6, 7)}
+    assert got == want
+
+
 def test_leaks_among_many_items_of_one_length(spark):
     """The blocks meet a small part of all items, and no window of a planted passage, edited or not, is missed."""
     rng = np.random.default_rng(11)
@@ -658,6 +670,23 @@ def test_components(spark, monkeypatch, one_task):
     assert got == {x: root(x) for x in parent}
 
 
+def test_a_hub_is_split(spark):
+    """The join with a written minimum splits a node that half of all edges end at."""
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    had = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        edges = common.materialize(spark.range(200_000).select((F.col("id") + 1_000_000).alias("u"), F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("v")), "edges")
+        both = edges.select(graph._pairs(("u", "v"), ("v", "u")))
+        least = common.materialize(both.groupBy("u").agg(F.min("v").alias("m")), "edges")
+        found = graph._with_least(both, least).agg(F.count("*"))
+        assert found.collect()[0][0] == 400_000 and "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in had.items():
+            spark.conf.set(k, v)
+
+
 def test_quality_rules(odd, empty):
     good = [f"Sentence {i} has x{i} words{i} of y{i} number{i}, z{i} own{i}." for i in range(9)]
     text = "\n".join([*good, "Home | About | Contact.", "no sentence end", "All rights reserved.", good[1]])
