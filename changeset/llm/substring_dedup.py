@@ -16,7 +16,7 @@ from .common import Words, arrow_map, checked_keep, chunks, digest, gram_hashes,
 #: Words of a window and of a minimiser.
 WINDOW, GRAM = 35, 8
 #: Most different strings that meet in one bucket. Those of a minimiser that has more are cut again by longer minimisers.
-BUCKET = 2000
+BUCKET = 500
 
 SPANS = "array<struct<first:int,count:int>>"
 
