@@ -114,7 +114,8 @@ def leaks(texts: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataF
     ours = _blocks(windows, "fp", WINDOW_FLIPS)
     theirs = _blocks(_fingerprints(item_rows, ["item_id", "n", "k"]).withColumnRenamed("fp", "item_fp"), "item_fp", ITEM_FLIPS)
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    pairs = ours.join(theirs, ["n", "k", "block", "value"]).where(distance <= RADIUS).select(*key, "item_id", distance.alias("distance")).distinct()
+    # An explosion's rows aren't in the planner's sizes, by which it would broadcast them.
+    pairs = ours.join(theirs.hint("merge"), ["n", "k", "block", "value"]).where(distance <= RADIUS).select(*key, "item_id", distance.alias("distance")).distinct()
     mine, its = _counted(cut, key), _counted(item_rows, ["item_id"]).withColumnRenamed("c", "c2")
     both = pairs.join(mine, key).join(its, ["item_id", "h"]).groupBy(*key, "item_id", "distance").agg(F.sum(F.least("c", "c2")).alias("shared"))
     mass = both.join(mine.groupBy(*key).agg(F.sum("c").alias("m1")), key).join(its.groupBy("item_id").agg(F.sum("c2").alias("m2")), "item_id")
@@ -130,4 +131,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     """
     texts = docs.select("doc_id", "text", digest(F.col("text")).alias("td"))
     found = leaks(texts.select("td", "text"), benchmark, least).groupBy("td", "item_id").agg(F.count("*").alias("n_windows"), F.min("start").alias("start"), F.max("similarity").alias("similarity"))
+    found = materialize(found, "found")  # so that the rows of a text with very many copies can be split
     return texts.select("doc_id", "td").join(found, "td").select("doc_id", "item_id", "n_windows", "start", "similarity")
