@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,43 +13,61 @@ from pyspark.sql import functions as F
 SCRIPT = "array<struct<kind:string,at:int,old:string,new:string>>"
 
 
-def _middle(x: Sequence, y: Sequence) -> tuple[int, int]:
-    """A place (i, j) that a shortest script from x to y passes about halfway: searches from both ends until they meet.
-    Both lists have values, and differ at their first and at their last."""
-    n, m = len(x), len(y)
-    ahead, back = {1: 0}, {1: 0}
-    for d in range((n + m + 1) // 2 + 1):
-        for reach, other, a, b, late in ((ahead, back, x, y, False), (back, ahead, x[::-1], y[::-1], True)):
-            for k in range(-d, d + 1, 2):
-                i = reach.get(k + 1, -1) if k == -d or k != d and reach[k - 1] < reach[k + 1] else reach[k - 1] + 1
-                j = i - k
-                while i < n and 0 <= j < m and a[i] == b[j]:
-                    i, j = i + 1, j + 1
-                reach[k] = i
-                there = other.get(n - m - k)
-                # The first search meets the other's last round, the second one this round of the first.
-                if there is not None and ((n - m) % 2 == 0) == late and abs(n - m - k) <= (d if late else d - 1) and i + there >= n:
-                    return (n - i, m - j) if late else (i, j)
-    raise AssertionError("the searches meet")
+def _further(x: Sequence, y: Sequence, low: int, row: Sequence[int]) -> tuple[int, array]:
+    """A search's next round, of one edit more: its lowest diagonal (place in x less place in y) and, of that and every second one
+    above, the furthest place in x. Outer diagonals that have left the lists are dropped: every place on them is reached."""
+    n, m, out = len(x), len(y), array("q")
+    for k, below, above in zip(range(low - 1, low + 2 * len(row), 2), chain((-1,), row), chain(row, (-1,)), strict=True):
+        i = below + 1 if below >= above else above
+        while i < n and i - k < m and x[i] == y[i - k]:
+            i += 1
+        out.append(i)
+    low -= 1
+    while out and out[-1] > n:
+        out.pop()
+    gone = next((s for s, i in enumerate(out) if i - (low + 2 * s) <= m), len(out))
+    return low + 2 * gone, out[gone:]
+
+
+def _reached(edits: int, low: int, row: Sequence[int], k: int, i: int) -> bool:
+    """Whether a round has come to place i of diagonal k."""
+    s = (k - low) // 2
+    return abs(k) <= edits and (not 0 <= s < len(row) or row[s] >= i)
 
 
 def shortest(a: Sequence, b: Sequence) -> list[tuple[str, int, object, object]]:
     """(remove, position in a, value, None) and (add, position in b, None, value), as few as possible, in order of place.
 
-    Divides at a middle place of a shortest script, so memory grows with the lists and not with the edits squared.
+    Of several shortest scripts it is the first: at every place an equal value is kept, else one is removed if that leaves
+    a shortest script, else one is added. Searches from the ends, then walks from the starts by what is left to the ends.
+    Rounds 0, 1, 3, 6, 10 and so on are kept and those between searched again, so memory grows with the edits to the power 1.5.
     """
-    out, todo = [], [(0, len(a), 0, len(b))]
-    while todo:
-        i, n, j, m = todo.pop()
+    n, m = len(a), len(b)
+    i = next((i for i, (v, w) in enumerate(zip(a, b, strict=False)) if v != w), min(n, m))
+    x, y, j = a[i:][::-1], b[i:][::-1], i
+    same = next((k for k, (v, w) in enumerate(zip(x, y, strict=False)) if v != w), min(len(x), len(y)))
+    edits, now, kept = 0, (0, array("q", [same])), []
+    while (n - m - edits) % 2 or not _reached(edits, *now, n - m, n - i):
+        if edits == len(kept) * (len(kept) + 1) // 2:
+            kept.append(now)
+        edits, now = edits + 1, _further(x, y, *now)
+    out, first, rounds = [], edits, []
+    while edits:
         while i < n and j < m and a[i] == b[j]:
             i, j = i + 1, j + 1
-        while i < n and j < m and a[n - 1] == b[m - 1]:
-            n, m = n - 1, m - 1
-        if i == n or j == m:
-            out += [("remove", k, a[k], None) for k in range(i, n)] + [("add", k, None, b[k]) for k in range(j, m)]
-            continue
-        u, v = _middle(a[i:n], b[j:m])
-        todo += [(i + u, n, j + v, m), (i, i + u, j, j + v)]
+        edits -= 1
+        if edits < first:
+            rounds = [kept.pop()]
+            first = len(kept) * (len(kept) + 1) // 2
+            while first + len(rounds) <= edits:
+                rounds.append(_further(x, y, *rounds[-1]))
+        left = n - i - 1
+        if i < n and _reached(edits, *rounds[edits - first], left - (m - j), left):
+            out.append(("remove", i, a[i], None))
+            i += 1
+        else:
+            out.append(("add", j, None, b[j]))
+            j += 1
     return out
 
 

@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 
+import harness
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,7 @@ from changeset.functions import conditions as C
 from changeset.functions import paths as P
 from changeset.functions import schema as S
 from changeset.operators import apply, crdt, diff, edit_script, merge, moves, ops, text
+from changeset.plans import catalogue
 from changeset.sources import codec, snapshots
 
 TASK = T.StructType([T.StructField("ID", T.StringType(), metadata={S.KEY: True}), T.StructField("Status", T.StringType()), T.StructField("Value", T.LongType())])
@@ -296,6 +298,43 @@ def test_edit_scripts(spark):
     assert {(r["id"], r["seq"]): r["position"] for r in edit_script.shifted_positions(flat, ["id"], "seq").collect()}[1, 0] == 0
 
 
+def first_script(a, b):
+    """Of the shortest scripts the first, by the table: keeps before removals before additions."""
+    n, m, out, i, j = len(a), len(b), [], 0, 0
+    left = lambda i, j: n - i + m - j - 2 * common(a[i:], b[j:])
+    while i < n or j < m:
+        if i < n and j < m and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        elif i < n and left(i + 1, j) < left(i, j):
+            out.append(("remove", i, a[i], None))
+            i += 1
+        else:
+            out.append(("add", j, None, b[j]))
+            j += 1
+    return out
+
+
+def test_first_of_the_shortest_edit_scripts():
+    """Of a run of equal values the first goes, whichever way the search came by it."""
+    assert edit_script.shortest(list("ooo"), list("xooy")) == [("remove", 0, "o", None), ("add", 0, None, "x"), ("add", 3, None, "y")]
+    assert edit_script.shortest([], []) == [] and edit_script.shortest([None, "o"], ["o"]) == [("remove", 0, None, None)]
+    rng = random.Random(7)
+    for size in [3, 6, 12, 30] * 60:
+        a, b = ([rng.choice("abc"[: 1 + size % 4]) for _ in range(rng.randint(0, size))] for _ in range(2))
+        assert edit_script.shortest(a, b) == first_script(a, b)
+    for a, b in (([1], list(range(9, 409))), (list(range(300)), list(range(900, 1200)))):
+        s = edit_script.shortest(a, b)
+        assert s == [("remove", i, v, None) for i, v in enumerate(a)] + [("add", j, None, v) for j, v in enumerate(b)]
+
+
+def test_edit_positions_of_runs(spark, tmp_path):
+    """Lists of one status throughout, also of many orders, beside the SQL."""
+    rows = [(1000 * c + i, c, "OFP"[c % 3] if c % 4 else "FO"[i % 2]) for c in range(40) for i in range(1 + c * c % 37)] + [(90000 + i, 90, "O") for i in range(3000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    name = "edit_script_positions"
+    assert harness.compare(spark, harness.connect(tmp_path), catalogue.QUERIES[name], catalogue.ORACLES[name], str(tmp_path)) is None
+
+
 def test_text_converges():
     rng = random.Random(11)
     sites = {n: [] for n in "abc"}
